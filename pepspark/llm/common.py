@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,21 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Deletes a staged table and lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    free_shuffles(df.sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark's cleaner removes the shuffle files of a plan once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -88,6 +104,26 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def word_chunks(batch: pa.RecordBatch, lower: bool = False, size: int = 100_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Texts (second column, bytes) of a batch as (row numbers, word hashes one text after another, lengths), in
+    chunks of about ``size`` words, so that memory follows the chunk and one text, not the batch."""
+    known: dict[bytes, int] = {}
+    rows, hashes, count = [], [], 0
+    for row, data in enumerate(batch.column(1)):
+        data = data.as_py() or b""
+        rows.append(row)
+        hashes.append(hash_words((data.translate(_LOWER) if lower else data).split(), known))
+        count += len(hashes[-1])
+        if count >= size:
+            yield rows, np.concatenate(hashes), np.array([len(h) for h in hashes])
+            rows, hashes, count = [], [], 0
+    if rows:
+        yield rows, np.concatenate(hashes), np.array([len(h) for h in hashes])
+
+
+_LOWER = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 def ngram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of every run of n consecutive words, from the words' hashes."""
     count = len(hashes) - n + 1

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pepspark.llm.decontaminate import OP1_SQL, op1_decontamination
 from pepspark.llm.media import op5_media_columns
 from pepspark.llm.secrets import op6_secret_scan
+from pepspark.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from pepspark.llm.toxicity import op8_toxicity
 from pepspark.llm.warc import op9_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL}
