@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pepspark.llm.decontaminate import OP1_SQL, op1_decontamination
+from pepspark.llm.jaccard_join import op4_ngram_jaccard
 from pepspark.llm.media import op5_media_columns
 from pepspark.llm.secrets import op6_secret_scan
 from pepspark.llm.substring_dedup import OP3_SQL, op3_substring_dedup
@@ -12,6 +13,7 @@ from pepspark.llm.warc import op9_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
