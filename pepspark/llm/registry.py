@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pepspark.llm.decontaminate import OP1_SQL, op1_decontamination
 from pepspark.llm.jaccard_join import op4_ngram_jaccard
+from pepspark.llm.language_model import op7_language_model
 from pepspark.llm.media import op5_media_columns
 from pepspark.llm.secrets import op6_secret_scan
 from pepspark.llm.substring_dedup import OP3_SQL, op3_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scan": op6_secret_scan,
+    "op7_language_model": op7_language_model,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
 }
