@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pepspark.llm.decontaminate import OP1_SQL, op1_decontamination
+from pepspark.llm.html_text import op10_html_text
 from pepspark.llm.jaccard_join import op4_ngram_jaccard
 from pepspark.llm.language_model import op7_language_model
 from pepspark.llm.media import op5_media_columns
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_language_model": op7_language_model,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_substring_dedup": OP3_SQL}
