@@ -119,7 +119,7 @@ def blocks(page: str) -> tuple[str, list[str]]:
         if stack[-1][0] == "p" or stack[-1][0] == tag == "li" or stack[-1][0] in HEADINGS:
             stack.pop()
         _, standing, region, _ = stack[-1]
-        standing = _standing(tag, m["attrs"] or "", standing, region == "article")
+        standing = _standing(tag, m["attrs"] or "", standing, region != "page")
         if standing != GONE and (tag == "article" or tag == "main" and region == "page" or region == "page" and re.search(r"""role\s*=\s*["']?main\b""", m["attrs"] or "", re.I)):
             region = "article" if tag == "article" else "main"
             seen.add(region)

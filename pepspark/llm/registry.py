@@ -7,6 +7,7 @@ from pepspark.llm.html_text import op10_html_text
 from pepspark.llm.jaccard_join import op4_ngram_jaccard
 from pepspark.llm.language_model import op7_language_model
 from pepspark.llm.media import op5_media_columns
+from pepspark.llm.pieces import op2_sentencepiece
 from pepspark.llm.secrets import op6_secret_scan
 from pepspark.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from pepspark.llm.toxicity import op8_toxicity
@@ -14,6 +15,7 @@ from pepspark.llm.warc import op9_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_media_columns": op5_media_columns,

@@ -99,6 +99,30 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every reported span of the text replaced by its kind in brackets; overlapping spans are one.
+
+    Rows meet their spans by (id, text digest), so that rows sharing an id keep their own; texts without spans are
+    not changed, and null stays null.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    named = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("digest")).alias("_key"), F.col(text_col).alias("_text"))
+    found = scan_secrets(named, "_key", "_text", scope).where("size(spans) > 0").select("_key.*", "spans").dropDuplicates(["id", "digest"])
+    text = F.col(text_col)
+    names = F.array(*map(F.lit, KINDS))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def cut(state, s):
+        start = F.greatest(s["start"], state["at"])
+        gap = F.substr(text, state["at"] + 1, start - state["at"])
+        label = F.when(s["start"] >= state["at"], F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, label).alias("out"))
+
+    rest = F.aggregate("_spans", zero, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    rows = docs.withColumn("_digest", key).join(found.select(F.col("id").alias("_id"), F.col("digest").alias("_found"), F.col("spans").alias("_spans")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_found")), "left")
+    return rows.withColumn(text_col, F.when(F.col("_spans").isNotNull(), rest).otherwise(text)).select(docs.columns)
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
