@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pepspark.llm.common import lower_ascii, staged, table
+from pepspark.llm.common import free_shuffles, lower_ascii, staged, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-ANCHORS = 3
+ANCHORS = 2
 BROADCAST_ROWS = 200_000
 
 
@@ -38,24 +38,25 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
-    """``phrase array<string>, items array``: the distinct windows and the items that have them."""
+    """``phrase_id, phrase array<string>, items array``: the distinct windows and the items that have them."""
     each = items.select(F.col(id_col).cast("string").alias("_item"), words(F.col(text_col)).alias("_words")).where(F.size("_words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (size - 1), F.lit(1)))
     return (
         each.select("_item", F.explode(F.transform(starts, lambda i: F.slice("_words", i, F.lit(size)))).alias("phrase"))
         .groupBy("phrase")
         .agg(F.collect_set("_item").alias("items"))
-        .withColumn("phrase_id", F.sha2(F.concat_ws(" ", "phrase"), 256))
+        .withColumn("phrase_id", F.monotonically_increasing_id())
     )
 
 
 def term_frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, cf``: occurrences in the whole corpus of the given terms; absent terms have no row."""
-    return tokens.select(F.explode("words").alias("term")).join(checked(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    """``term, term_id, cf``: occurrences in the whole corpus of the given terms; absent terms have no row."""
+    counts = tokens.select(F.explode("words").alias("term")).join(checked(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    return counts.withColumn("term_id", F.monotonically_increasing_id())
 
 
 def anchors(phrases: DataFrame, frequencies: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """``phrase_id, rank, term, offset, n_anchors``: the rarest places of each phrase all of whose terms occur."""
+    """``phrase_id, rank, term, term_id, offset, n_anchors``: the rarest places of each phrase all of whose terms occur."""
     places = phrases.select("phrase_id", F.size("phrase").alias("_n"), F.posexplode("phrase").alias("offset", "term"))
     ranked = Window.partitionBy("phrase_id").orderBy("cf", "offset")
     return (
@@ -63,33 +64,37 @@ def anchors(phrases: DataFrame, frequencies: DataFrame, count: int = ANCHORS) ->
         .withColumn("rank", F.row_number().over(ranked))
         .withColumn("_known", F.count(F.lit(1)).over(Window.partitionBy("phrase_id")))
         .where(f"_known = _n and rank <= {count}")
-        .select("phrase_id", "rank", "term", "offset", F.least("_n", F.lit(count)).alias("n_anchors"))
+        .select("phrase_id", "rank", "term", "term_id", "offset", F.least("_n", F.lit(count)).alias("n_anchors"))
     )
 
 
 def build_index(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, doc, pos``: the stored postings of the terms."""
+    """``term_id, doc, pos``: the stored postings of the terms (``term, term_id``)."""
     postings = tokens.select("doc", F.posexplode("words").alias("pos", "term")).join(checked(terms), "term")
-    return staged(postings.select("term", "doc", "pos").sortWithinPartitions("term", "doc", "pos"), "postings")
+    return staged(postings.select("term_id", "doc", "pos").sortWithinPartitions("term_id", "doc", "pos"), "postings")
 
 
 def phrase_candidates(index: DataFrame, marks: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """``phrase_id, doc, start``: where all anchors of a phrase stand at their offsets, rarest lists first."""
+    """``phrase_id, doc, start``: where all anchors of a phrase stand at their offsets.
 
-    def moved(rank: int) -> DataFrame:
-        mine = marks.where(F.col("rank") == rank).select("phrase_id", "term", "offset", "n_anchors")
-        return index.join(checked(mine), "term").select("phrase_id", "doc", (F.col("pos") - F.col("offset")).alias("start"), "n_anchors").where("start >= 0")
-
-    found = moved(1)
+    The list of a phrase's rarest term is moved by its offset; what it asks of the next rarest term's list is an equality
+    of document, term and position.
+    """
+    mine = marks.where("rank = 1").select("term_id", "phrase_id", "offset", "n_anchors")
+    found = index.join(checked(mine), "term_id").select("phrase_id", "doc", (F.col("pos") - F.col("offset")).alias("start"), "n_anchors").where("start >= 0")
     for rank in range(2, count + 1):
-        more = moved(rank).select("phrase_id", "doc", "start")
-        found = found.join(more, ["phrase_id", "doc", "start"]).unionByName(found.where(F.col("n_anchors") < rank))
+        wanted = marks.where(F.col("rank") == rank).select("phrase_id", "term_id", "offset")
+        asked = found.join(checked(wanted), "phrase_id").withColumn("pos", F.col("start") + F.col("offset"))
+        terms = checked(wanted.select("term_id").distinct())
+        met = asked.join(index.join(terms, "term_id", "left_semi"), ["doc", "term_id", "pos"]).select(found.columns)
+        found = met.unionByName(found.where(F.col("n_anchors") < rank))
     return found.select("phrase_id", "doc", "start").distinct()
 
 
 def phrase_matches(tokens: DataFrame, index: DataFrame, marks: DataFrame, phrases: DataFrame) -> DataFrame:
     """``doc, start, length, items``: every occurrence of a phrase, compared word by word with the token store."""
     candidates = staged(phrase_candidates(index, marks), "candidates")
+    free_shuffles(tokens.sparkSession)
     held = candidates.join(checked(phrases.select("phrase_id", "phrase", "items")), "phrase_id").select("doc", "start", "phrase", "items")
     some = tokens.join(checked(candidates.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc"])
     return (
@@ -99,14 +104,14 @@ def phrase_matches(tokens: DataFrame, index: DataFrame, marks: DataFrame, phrase
     )
 
 
-def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int = 5) -> DataFrame:
+def proximity_matches(index: DataFrame, phrases: DataFrame, frequencies: DataFrame, slop: int = 5) -> DataFrame:
     """``phrase_id, doc, end``: places where all terms of a phrase stand, in any order, within its length plus ``slop``.
 
     ``index`` has the postings of all terms of the phrases.  One ordered pass over each document's postings of a
     phrase; no pairs are made.
     """
     terms = phrases.select("phrase_id", F.size(F.array_distinct("phrase")).alias("_n"), (F.size("phrase") + slop).alias("_span"), F.explode(F.array_distinct("phrase")).alias("term"))
-    found = index.join(checked(terms), "term")
+    found = index.join(checked(terms.join(frequencies.select("term", "term_id"), "term")), "term_id")
     spans = [r[0] for r in terms.select("_span").distinct().collect()]  # at most one for each phrase length
     out = None
     for span in spans:
@@ -134,7 +139,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     terms = phrases.select(F.explode("phrase").alias("term")).distinct()
     frequencies = staged(term_frequencies(tokens, terms), "frequencies")
     marks = staged(anchors(phrases, frequencies), "anchors")
-    index = build_index(tokens, marks.select("term").distinct())
+    index = build_index(tokens, marks.select("term", "term_id").distinct())
     hits = (
         phrase_matches(tokens, index, marks, phrases)
         .groupBy("doc")
