@@ -108,7 +108,8 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     named = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("digest")).alias("_key"), F.col(text_col).alias("_text"))
     found = scan_secrets(named, "_key", "_text", scope).where("size(spans) > 0").select("_key.*", "spans").dropDuplicates(["id", "digest"])
-    text = F.col(text_col)
+    found = found.select(F.col("id").alias("_id"), F.col("digest").alias("_found"), F.col("spans").alias("_spans"))
+    text = F.col("_text")
     names = F.array(*map(F.lit, KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -119,8 +120,10 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, label).alias("out"))
 
     rest = F.aggregate("_spans", zero, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    rows = docs.withColumn("_digest", key).join(found.select(F.col("id").alias("_id"), F.col("digest").alias("_found"), F.col("spans").alias("_spans")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_found")), "left")
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNotNull(), rest).otherwise(text)).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), key.alias("_digest"))
+    rows = rows.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_found")), "left")
+    cleared = F.when(F.col("_spans").isNotNull(), rest).otherwise(text)
+    return rows.select(*[(cleared if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def written(spans: Column) -> Column:

@@ -1,0 +1,240 @@
+"""The operators on documents against brute force, on a small table of awkward texts."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from pepspark.llm import decontaminate, jaccard_join, language_model, media, pieces, secrets, substring_dedup
+from pepspark.llm.registry import QUERIES
+
+LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def rows_of(spark, folder, name):
+    return collections.defaultdict(list, {k: list(g) for k, g in _grouped(QUERIES[name](spark, folder).collect())})
+
+
+def _grouped(rows):
+    out = collections.defaultdict(list)
+    for r in rows:
+        out[r["doc_id"]].append(r)
+    return out.items()
+
+
+def sha(text):
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def test_decontamination(spark, folder, texts):
+    own = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    items = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = own(r["text"])
+        for i in range(max(1, len(w) - 9) if w else 0):
+            items[tuple(w[i : i + 10])].add(str(r["item_id"]))
+    got = rows_of(spark, folder, "op1_decontamination")
+    for doc, text in texts:
+        w, hit, found = own(text), set(), set()
+        for window, ids in items.items():
+            for i in range(len(w) - len(window) + 1):
+                if tuple(w[i : i + len(window)]) == window:
+                    hit |= set(range(i, i + len(window)))
+                    found |= ids
+        for r in got[doc]:
+            assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
+    assert sum(map(len, got.values())) == len(texts)
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha beta")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id int, text string")
+    tokens = docs.select(docs.doc_id.alias("doc"), decontaminate.words(docs.text).alias("words"))
+    phrases = decontaminate.windows(items, "item_id", "text")
+    from pepspark.llm.common import staged
+
+    known = staged(decontaminate.term_frequencies(tokens, phrases.selectExpr("explode(phrase) AS term").distinct()), "terms")
+    index = decontaminate.build_index(tokens, known.select("term", "term_id"))
+    found = decontaminate.proximity_matches(index, phrases, known, slop=2)
+    assert {(r["doc"], r["end"]) for r in found.collect()} == {(1, 4), (2, 2)}
+
+
+def test_substring_dedup(spark, folder, texts):
+    first, docs = {}, {}
+    for doc, text in texts:
+        docs[doc] = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    for doc in sorted(docs):
+        for i in range(len(docs[doc]) - 12):
+            first.setdefault(tuple(docs[doc][i : i + 13]), doc)
+    got = rows_of(spark, folder, "op3_substring_dedup")
+    removed = 0
+    for doc, w in docs.items():
+        cut = {k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < doc for k in range(i, i + 13)}
+        removed += len(cut)
+        for r in got[doc]:
+            assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(cut), sha(b" ".join(x for k, x in enumerate(w) if k not in cut)))
+    assert removed > 1000 and sum(map(len, got.values())) == len(texts)
+
+
+def test_ngram_jaccard(spark, folder, texts):
+    sets = {}
+    for doc, text in texts:
+        w = (text or "").encode().translate(LOW).split()
+        sets[doc] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    parent = {d: d for d in sets}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = rows_of(spark, folder, "op4_ngram_jaccard")
+    assert {d: (r[0]["n_shingles"], r[0]["component_id"]) for d, r in got.items()} == {d: (len(s), find(d)) for d, s in sets.items()}
+    assert len(got[5]) == 2
+
+
+def test_walk_and_open_pairs(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 120, 80).astype(np.uint64)) for _ in range(60)]
+    want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[0])) >= 40 * len(np.union1d(s, sets[0]))]
+    assert sorted(jaccard_join.walk(sets[0], list(enumerate(sets)), 40)) == want
+    bins = lambda s: bytearray(np.bincount((s % 256).astype(int), minlength=256).astype(np.uint8).tobytes())
+    rows = spark.createDataFrame([(7, k, len(s), 0, k // 2, bins(s)) for k, s in enumerate(sets)], "shingle long, doc int, n int, depth int, component int, bins binary")
+    before, jaccard_join.BLOCK = jaccard_join.BLOCK, 16
+    try:
+        found = {(r["a"], r["b"]) for r in jaccard_join.open_pairs(rows, 40).collect()}
+    finally:
+        jaccard_join.BLOCK = before
+    links = {(a, b) for a in range(60) for b in range(a + 1, 60) if a // 2 != b // 2 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 40 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= found and all(a // 2 != b // 2 for a, b in found)
+
+
+def test_media(spark, folder, texts):
+    got = rows_of(spark, folder, "op5_media_columns")
+    for doc, text in texts:
+        data = (text or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        for r in got[doc]:
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-32:]))
+            assert r["media_sha256"] == sha(media.build_file(data)) and r["media_bytes"] == len(media.build_file(data))
+    assert media.parse_file(b"junk") is None and media.parse_file(b"") is None
+    info = media.parse_file(media.build_file(b"x" * 100_000))
+    assert info["duration"] == 174 * 24 and len(info["samples"]) == 174 and len(media.joined(info["keys"])) == 1
+    assert spark.createDataFrame([(bytearray(b"junk"),), (None,)], "media binary").transform(media.index_media).where("info.codec is null").count() == 2
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_secrets(spark, folder, texts):
+    got = rows_of(spark, folder, "op6_secret_scan")
+    for doc, text in texts:
+        t = text or ""
+        ascii_keys = [m for m in ASSIGN.finditer(t) if m.group(1).isascii() and len(m.group(2)) >= 6]
+        spans = [(m.start(), 0, m.end()) for m in ascii_keys] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        for r in got[doc]:
+            assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+            assert r["base_sha256"] == sha(base)
+            assert {x for x in base.split(",") if x} <= set(r["spans"].split(","))
+    assert [x.split(":")[0] for x in got[100][0]["spans"].split(",")] == ["access", "key", "endpoint"]
+    assert got[101][0]["spans"] == ""
+
+
+def test_redaction(spark, texts):
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert out[100] == "[access] and [key] at [endpoint] ok" and out[99].startswith("[assign]' token: ab [assign] [access] [hex] x")
+    assert out[90] is None and out[96] == dict(texts)[96] and out[101] == dict(texts)[101]
+
+
+@pytest.mark.parametrize("bound", [40, 10_000])
+def test_language_model(spark, folder, texts, bound):
+    docs = spark.createDataFrame(texts, "doc_id long, text string").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in language_model.score_corpus(docs, bound=bound).collect()}
+    words = {d: (t or "").encode().translate(LOW).split() for d, t in texts}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in words}
+    c = collections.Counter(x for d, w in words.items() if not held[d] for x in [*w, None])
+    total, kinds = sum(c.values()), len(c)
+    counts, least, size = collections.Counter(n for w, n in c.items() if w is not None), 1, 0
+    if kinds - 1 > bound:
+        for n in sorted(counts, reverse=True):
+            if size + counts[n] > bound:
+                break
+            size, least = size + counts[n], n
+        least = least if size else max(counts) + 1
+    known = {w for w, n in c.items() if w is not None and n >= least}
+    rare = [n for w, n in c.items() if w is not None and w not in known]
+    symbol = collections.Counter({w: c[w] for w in known}) + collections.Counter({"other": sum(rare)})
+    symbol["other"] += 0
+    symbol["end"] = c[None]
+    p1 = lambda y: (symbol[y] + 1) / (total + len(symbol))
+    name = lambda w: "end" if w is None else w if w in known else "other"
+    pairs, history = collections.Counter(), collections.Counter()
+    for d, w in words.items():
+        h = "start"
+        for x in [*w, None] if not held[d] else ():
+            pairs[h, name(x)] += 1
+            history[h] += 1
+            h = name(x)
+    discount = language_model.discounts(np.bincount(np.minimum(list(pairs.values()), 7), minlength=8))
+    weight = lambda r: discount[r] * r if r <= 5 else r
+    mass, seen = collections.Counter(), collections.Counter()
+    for (h, y), r in pairs.items():
+        mass[h] += weight(r)
+        seen[h] += p1(y)
+    p = lambda h, y: weight(pairs[h, y]) / (history[h] + 1) if pairs[h, y] else (1 - mass[h] / (history[h] + 1)) / (1 - seen[h]) * p1(y)
+    assert sum(p("start", y) for y in symbol) == pytest.approx(1)
+    for d, w in words.items():
+        score, base, h = 0.0, 0.0, "start"
+        for x in [*w, None]:
+            base += math.log10((c[x] + 1) / (total + kinds + 1))
+            score += math.log10(p(h, name(x))) + (math.log10((c[x] + 1) / (sum(rare) + len(rare) + 1)) if name(x) == "other" else 0)
+            h = name(x)
+        r = got[d]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(w) + 1, sum(c[x] > 0 for x in [*w, None]), total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
+
+
+def test_sentencepiece(spark, folder, texts):
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    got = rows_of(spark, folder, "op2_sentencepiece")
+    for doc, text in texts:
+        ids = library.encode(text or "")
+        for r in got[doc]:
+            assert (r["n_pieces"], r["ids_sha256"]) == (len(ids), sha(",".join(map(str, ids))))
+            assert r["decoded_sha256"] == sha(text or "") and r["round_trip"]
+
+
+def test_relational_lattice(spark):
+    words = spark.createDataFrame([(u,) for u in ("▁hello", "▁thtionbleea", "▁Ünï", "▁", "▁▁", "▁the,", "\nIs", "▁a你")], "unit string")
+    for kind in ("bpe", "unigram"):
+        model = pieces.Pieces(kind=kind)
+        rows = pieces.encode_units(words, model).collect()
+        assert len(rows) == 8 and all(model.ids(r["parts"]) == model.fold(r["unit"]) for r in rows)
+    model = pieces.Pieces()
+    for unit in ("▁" + "abcab" * 30, "▁" + "é" * 70, "▁internationalisation"):
+        assert model._merge(unit) == model._merge_long(unit)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES)))
+def test_empty_tables(spark, empty_folder, name):
+    assert QUERIES[name](spark, empty_folder).count() == 0
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g h i j k l m n o"), (1, "a b c d e f g h i j k l m n o"), (None, None)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in substring_dedup.dedup_substrings(docs).collect()) == [0, 0, 0]
+    assert {(r["doc"], r["component"]) for r in jaccard_join.near_components(docs).collect()} == {(None, None), (1, 1)}
+    assert secrets.redact_secrets(docs).count() == 3
