@@ -23,8 +23,8 @@ from pepspark.llm.toxicity import fit, score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where("score < 0.5").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return score(rows, fit(docs, table(spark, sf_dir, "labels"))).where("score < 0.5").select("_row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
