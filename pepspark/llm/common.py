@@ -23,13 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and (folder != "/tmp/checkpoints" or not spark.sparkContext.master.startswith("local[")):
-        return folder.rstrip("/")
-    folder = f"{tempfile.gettempdir()}/pepspark-shared"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/pepspark-shared")
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
