@@ -6,7 +6,7 @@ tree; these are stored as rows (shingle, document, size, depth).
 
 1. Equal sets are one class, led by its least document; only leaders go on.
 2. In each branch every document meets the branch's least document.  Pairs are pruned by sizes, by the remaining length
-   below the branch, and by an upper bound of the overlap from 64-bucket histograms; those left are verified on whole
+   below the branch, and by an upper bound of the overlap from histograms of ``BUCKETS`` hash buckets; those left are verified on whole
    texts: the documents that meet one leader are walked in tree order, so a shared beginning's partial overlap is
    counted once, and a walk stops where the remaining length can't reach the threshold.  Links give components.
 3. Branches that still hold several components compare what is left: only pairs of different components, not yet
@@ -33,10 +33,11 @@ from pepspark.llm.components import connected_components
 
 WORDS = 4
 PERCENT = 85
-BUCKETS = 64
+BUCKETS = 256
 LEAST_FREQUENT = 3
 MAX_FREQUENT = 65_536
 BROADCAST_ROWS = 200_000
+BLOCK = 2_048  # rows of a branch that are compared in one task with as many others
 GROUP = 256  # documents that one task compares with one leader at a time
 
 
@@ -79,7 +80,7 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tu
                     has, first = np.flatnonzero(n), np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
                     one[has], two[has] = np.add.reduceat(mix(values), first), np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), first)
             bins = np.bincount(text * BUCKETS + (values & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=len(lengths) * BUCKETS).reshape(-1, BUCKETS)
-            bins = np.minimum(bins, 65535).astype("<u2")
+            bins = np.minimum(bins, 255).astype(np.uint8)
             frequent.append(values)
             m = len(numbers)
             yield pa.RecordBatch.from_arrays(
@@ -139,14 +140,80 @@ def possible(percent: int) -> str:
     return f"{size} and {left}"
 
 
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that sets with these histograms can share; a full bucket (255 or more) bounds nothing."""
+    least = np.minimum(x, y)
+    return np.where((least == 255).any(-1), 1 << 40, least.sum(-1, dtype=np.int64))
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of different components in one branch that sizes, depths and histograms allow.
+
+    ``rows``: shingle, doc, n, depth, component, bins.  Large branches are cut in blocks, and each pair of blocks is a
+    group of its own; only pairs that pass leave a task.
+    """
+    sizes = rows.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    sizes = staged(sizes, "sizes")
+    cut = rows.join(sizes, "shingle").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cut = cut.withColumns({"low": F.least("own", "_other").cast("int"), "high": F.greatest("own", "_other").cast("int")})
+    dealt = cut.select("shingle", "low", "high", "own", "doc", "n", "depth", "component", "bins").repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "n")
+
+    def group(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        component = t.column("component").to_numpy()
+        if len(t) < 2 or (component == component[0]).all():
+            return None
+        n, depth, own = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "depth", "own"))
+        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        same_block = t.column("low")[0].as_py() == t.column("high")[0].as_py()
+        ends = np.searchsorted(n, 100 * n // percent, "right")
+        a, b = [], []
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, ends[i])
+            j = j[component[j] != component[i]]
+            if not same_block:
+                j = j[own[j] != own[i]]
+            if len(j):
+                least = np.minimum(depth[j], depth[i]) + 1 + np.minimum(n[i] - depth[i], n[j] - depth[j]) - 1
+                j = j[(100 + percent) * least >= percent * (n[i] + n[j])]
+            if len(j):
+                j = j[(100 + percent) * overlap_bound(bins[j], bins[i]) >= percent * (n[i] + n[j])]
+                a += [i] * len(j)
+                b += j.tolist()
+        if not a:
+            return None
+        x, y = t.column("doc").take(pa.array(a)), t.column("doc").take(pa.array(b))
+        return pa.RecordBatch.from_arrays([x.combine_chunks(), y.combine_chunks()], names=["a", "b"])
+
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            cuts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0), True])
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                key = tuple(k[x] for k in keys)
+                if key != now:
+                    if parts and (found := group(parts)) is not None:
+                        yield found
+                    now, parts = key, []
+                parts.append(batch.slice(x, y - x))
+        if parts and (found := group(parts)) is not None:
+            yield found
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    found = dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def prune_by_bins(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose histograms allow the overlap."""
     both = pairs.join(bins.select(F.col("doc").alias("a"), F.col("n").alias("_n"), F.col("bins").alias("_x")), "a").join(bins.select(F.col("doc").alias("b"), F.col("n").alias("_m"), F.col("bins").alias("_y")), "b")
 
     def rows(batch):
         n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int64) for i in (4, 5))
-        most = np.minimum(np.where(x == 65535, 1 << 40, x), np.where(y == 65535, 1 << 40, y)).sum(1)
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (4, 5))
+        most = overlap_bound(x, y)
         keep = pa.array((100 + percent) * np.minimum(most, np.minimum(n, m)) >= percent * (n + m))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -182,8 +249,10 @@ def verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words:
     salted = staged(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / GROUP).cast("int")).alias("salt")), "salted")
     places = salted.select(F.col("b").alias("doc"), "a", "salt").unionByName(salted.select(F.col("a").alias("doc"), "a", "salt").distinct())
     needed = places.groupBy("doc").agg(F.collect_list(F.struct("a", "salt")).alias("places"))
-    texts = _words(docs, id_col, text_col).where("doc is not null")
-    sent = texts.join(needed, "doc").dropDuplicates(["doc"]).select("doc", "text", F.explode("places").alias("p")).select("doc", "text", "p.a", "p.salt")
+    some = staged(needed, "needed")
+    ids = some.select("doc")
+    texts = _words(docs, id_col, text_col).where("doc is not null").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", "left_semi")
+    sent = texts.join(some, "doc").dropDuplicates(["doc"]).select("doc", "text", F.explode("places").alias("p")).select("doc", "text", "p.a", "p.salt")
     grouped = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("doc") != F.col("a"))
 
     def run(batches):
@@ -223,16 +292,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets, counted = describe_sets(docs, id_col, text_col, words)
     frequent = [r["shingle"] for r in counted.orderBy(F.desc("df"), "shingle").limit(MAX_FREQUENT).collect()][::-1]
     keyed = sets.where("n > 0 and doc is not null")
-    classes = staged(keyed.join(keyed.groupBy("k1", "k2", "n").agg(F.min("doc").alias("leader")), ["k1", "k2", "n"]).select("doc", "leader").distinct(), "classes")
+    first = staged(keyed.groupBy("k1", "k2", "n").agg(F.min("doc").alias("leader"), F.max("doc").alias("_last")).where("leader < _last").drop("_last"), "first")
+    classes = staged(keyed.join(first, ["k1", "k2", "n"]).select("doc", "leader").distinct(), "classes")
     copies = classes.where("doc <> leader")
-    leaders = keyed.join(copies.select("doc"), "doc", "left_anti").select("doc", "n", "bins").dropDuplicates(["doc"])
     few = copies.select("doc").distinct()
     few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    leaders = staged(keyed.join(few, "doc", "left_anti").select("doc", "n", "bins").dropDuplicates(["doc"]), "leaders")
     singles = docs.where(F.col(id_col).isNotNull()).join(few.withColumnRenamed("doc", id_col), id_col, "left_anti")
     tops = staged(branches(singles, id_col, text_col, words, percent, frequent), "tops")
     free_shuffles(spark)
 
     firsts = tops.groupBy("shingle").agg(F.min(F.struct("doc", "n", "depth")).alias("f"), F.max("doc").alias("_last")).where("f.doc < _last").select("shingle", F.col("f.doc").alias("first"), F.col("f.n").alias("m"), F.col("f.depth").alias("other"))
+    firsts = staged(firsts, "firsts")
+    free_shuffles(spark)
     met = staged(tops.join(firsts, "shingle"), "met")
     drop_staged(tops)
     pairs = met.where("doc <> first").where(possible(percent)).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
@@ -244,12 +316,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.where("doc <> first").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = staged(placed.select("shingle", "doc", "n", "depth", "component"), "placed")
     drop_staged(met)
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("shingle")
-    open_rows = placed.join(mixed, "shingle")
-    other = open_rows.select("shingle", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("depth").alias("other"), F.col("component").alias("_c"))
-    more = open_rows.join(other, "shingle").where("component < _c").where(possible(percent))
-    more = more.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
-    more = staged(prune_by_bins(more, leaders, percent), "more")
+    mixed = staged(placed.groupBy("shingle").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("shingle"), "mixed")
+    open_rows = placed.join(mixed, "shingle").join(leaders.select("doc", "bins"), "doc")
+    more = staged(open_pairs(staged(open_rows, "open"), percent), "more")
+    free_shuffles(spark)
     links2 = staged(verify(docs, more, id_col, text_col, words, percent), "links2")
     drop_staged(placed)
     parts = connected_components(links.unionByName(links2).unionByName(copies.select(F.col("leader").alias("a"), F.col("doc").alias("b"))))
