@@ -30,10 +30,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FREQUENT = 65_536
 LEAST_FREQUENT = 8
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 100_000
 LONG_UNIT = 48
 RELATIONAL_LENGTH = 24
+LATTICE_TASKS = 48
 CHUNK_CHARS = 2_000_000
+DECODED_PIECES = 300_000
 
 
 class Pieces:
@@ -157,7 +159,7 @@ def encode_units(words: DataFrame, pieces: Pieces, unit_col: str = "unit") -> Da
     """``unit, parts array<string>``: the relational lattice of each distinct unit, folded to its pieces."""
     spark = words.sparkSession
     known = F.broadcast(spark.createDataFrame([(p, float(s)) for p, (s, _) in pieces.normal.items()], "piece string, score double"))  # the model's fixed size
-    one = words.select(F.col(unit_col).alias("unit")).distinct()
+    one = words.select(F.col(unit_col).alias("unit")).repartition(LATTICE_TASKS, "unit").distinct()  # small rows, much work: never coalesced
     longest, n = F.lit(pieces.longest), F.length("unit")
     starts = one.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("i"))
     spans = starts.select("unit", "i", F.explode(F.sequence(F.lit(1), F.least(longest, n - F.col("i") + 1))).alias("size"))
@@ -260,13 +262,18 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
         pieces = shared.value
         lists = batch.column(place)
         ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        sizes = pieces.lengths[ids]
-        before = np.cumsum(sizes) - sizes
-        data = pieces.blob[np.repeat(pieces.starts[ids] - before, sizes) + np.arange(sizes.sum())].tobytes()
-        cuts = np.r_[before, len(data)][ends].tolist()
-        texts = [data[a:z][1:] if data[a:z][:1] == b" " else data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
-        texts = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+        first = 0
+        while first < batch.num_rows:  # some rows at a time, by their pieces
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODED_PIECES, "right")) - 1)
+            part = ids[ends[first] : ends[last]]
+            sizes = pieces.lengths[part]
+            before = np.cumsum(sizes) - sizes
+            data = pieces.blob[np.repeat(pieces.starts[part] - before, sizes) + np.arange(sizes.sum())].tobytes()
+            cuts = np.r_[before, len(data)][ends[first : last + 1] - ends[first]].tolist()
+            texts = [data[a:z][1:] if data[a:z][:1] == b" " else data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+            rows_of = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([*rows_of.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*batch.schema.names, "decoded"])
+            first = last
 
     from pyspark.sql.types import StringType, StructField, StructType
 
