@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -207,6 +208,41 @@ def test_language_model(spark, folder, texts, bound):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("case", ["few cached", "many words"])
+def test_language_model_keeps_every_word(spark, texts, case):
+    """Scores are those of pairs of the words themselves, however few are cached and however many there are."""
+    rows = {d: t for d, t in texts}
+    if case == "many words":
+        rng = random.Random(3)
+        rows = {d: " ".join(f"w{rng.randrange(300_000)}" for _ in range(25_000)) for d in range(12)} | {20: "w1 w2 w1 w3", 21: "new w5 w7 new"}
+    words = {d: (t or "").encode().translate(LOW).split() for d, t in rows.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in words}
+    assert {True, False} == set(held.values())
+    pairs, history = collections.Counter(), collections.Counter()
+    for d, w in words.items():
+        for h, x in zip(["start", *w], [*w, None], strict=True) if not held[d] else ():
+            pairs[h, x] += 1
+            history[h] += 1
+    c = collections.Counter()
+    for (_, x), r in pairs.items():
+        c[x] += r
+    assert case != "many words" or len(c) > 131_072
+    unit = sum(c.values()) + len(c) + 1  # symbols: words and the end, and one for all unknown words
+    discount = language_model.discounts(np.bincount(np.minimum(list(pairs.values()), 7), minlength=8))
+    weight = lambda r: discount[r] * r if r <= 5 else r
+    mass, seen = collections.Counter(), collections.Counter()
+    for (h, x), r in pairs.items():
+        mass[h] += weight(r)
+        seen[h] += (c[x] + 1) / unit
+    p = lambda h, x: weight(pairs[h, x]) / (history[h] + 1) if pairs[h, x] else (1 - mass[h] / (history[h] + 1)) / (1 - seen[h]) * (c[x] + 1) / unit
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    more = {"cached": 40} if case == "few cached" else {}
+    got = {r["doc_id"]: r["score"] for r in language_model.score_corpus(docs, **more).collect()}
+    assert got.keys() == rows.keys()
+    for d, w in words.items():
+        assert got[d] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["start", *w], [*w, None], strict=True)), rel=1e-9)
+
+
 def test_sentencepiece(spark, folder, texts):
     library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     got = rows_of(spark, folder, "op2_sentencepiece")
