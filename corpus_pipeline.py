@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again before the next.
 
 toxicity        documents that the model rejects go
-jaccard_join    one document of each group of near copies stays, the one with the smallest id
+jaccard_join    one document of each group of near copies (80 % of shingles of 5 words) stays, the one with the smallest id
 decontaminate   documents that share a window of 10 words with a benchmark item go
 secrets         strong and linked secret spans are replaced by ``[kind]``
 sentencepiece   the last: what is left, encoded to piece ids, with the text decoded again

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pepspark.llm.common import drop_staged, free_shuffles, map_arrow, mix, ngram_hashes, staged, table, text_bytes, word_chunks
 from pepspark.llm.components import connected_components
 
-WORDS = 4
-PERCENT = 85
+WORDS = 5
+PERCENT = 80
 BUCKETS = 256
 LEAST_FREQUENT = 3
 MAX_FREQUENT = 65_536
@@ -329,5 +329,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Size of each document's set of 4-word shingles, and the component of its links of 85 % or more."""
-    found = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

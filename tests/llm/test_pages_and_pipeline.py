@@ -141,6 +141,14 @@ def test_toxicity_awkward_rows(spark, folder):
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def test_pipeline_near_copies(spark, folder):
+    """Copies at 41 of 51 shingles of 5 words (4-word shingles: 43 of 51)."""
+    words = [f"w{i}" for i in range(50)]
+    other = words[:25] + ["changed"] + words[26:]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "apart from both")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.jaccard_join(spark, docs, folder).collect()) == [1, 3]
+
+
 def test_pipeline_stages(spark, folder, texts):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     all_rows = docs.count()
