@@ -1,14 +1,14 @@
 """Main text of web pages: page structure, and suffix arrays over each host's pages where structure says nothing.
 
 A page with an ``article`` (or else ``main``) keeps the text of that, less the menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments in it.  A page without one is a stream of blocks; the streams of a host's pages are
-concatenated (in shards of ``SHARD_PAGES``, so that a host of any size is many tasks), a suffix array over their words
-finds the runs of ``RUN`` words or more that stand in two pages or more, and what they cover goes; unique runs stay.
-Pages of the first kind never leave their task.
+adverts, forms and reader comments in it.  A page without one is a stream of blocks.  The runs of ``RUN`` words or more that stand
+in two pages of the host or more go, and unique runs stay.  The streams of a host of up to ``TASK_PAGES`` pages are
+concatenated, and a suffix array over their words finds the runs; those of a larger host, which no task could hold, meet
+by the hash of every window of ``RUN`` words, with the same result.  Pages of the first kind never leave their task.
 
 Blocks are joined in page order by a newline, white space (as Unicode has it) in a block is one space, ``br`` is white
 space.  Null or empty pages, and pages without words, have empty text.  Repeated rows stay rows; with suffix arrays, rows
-of the same page id count as one page.  Pages without a host form shards of their own.
+of the same page id count as one page.  Pages without a host count as one host.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pepspark.llm.common import map_arrow, staged, table
+from pepspark.llm.common import map_arrow, ngram_hashes, staged, table
 
 RUN = 8
-SHARD_PAGES = 256
+TASK_PAGES = 256
 
 #: Elements by what they mean for the text, and words in class, id or role of what isn't the article's.
 RAW = "script style noscript template textarea title svg math iframe object select option button canvas audio video".split()
@@ -168,23 +169,61 @@ def repeated(pages: list[int], lengths: list[int], words: list[str], run: int) -
 _BREAK = "\n"
 
 
+def _words(blocks_of: list[str]) -> list[str]:
+    return [w for b in blocks_of for w in (*b.split(), _BREAK)]
+
+
+def _kept(words: list[str], gone: list[bool]) -> list[str]:
+    kept = " ".join(w if w == _BREAK or not g else "" for w, g in zip(words, gone, strict=True))
+    return [x for b in kept.split(_BREAK) if (x := " ".join(b.split()))]
+
+
 def unique_runs(pages: list[int], texts: list[list[str]], run: int = RUN) -> list[list[str]]:
     """The blocks of a host's pages without the words of repeated runs; a block mark is a word of its own."""
-    words, lengths = [], []
-    for blocks_of in texts:
-        own = [w for b in blocks_of for w in (*b.split(), _BREAK)]
-        words += own
-        lengths.append(len(own))
+    streams = [_words(blocks_of) for blocks_of in texts]
+    words, lengths = [w for own in streams for w in own], list(map(len, streams))
     if not words:
         return [[] for _ in texts]
     gone, out, at = repeated(pages, lengths, words, run).tolist(), [], 0
-    for length in lengths:
-        kept = " ".join(w if w == _BREAK or not g else "" for w, g in zip(words[at : at + length], gone[at : at + length], strict=True))
-        out.append([x for b in kept.split(_BREAK) if (x := " ".join(b.split()))])
-        at += length
+    for own in streams:
+        out.append(_kept(own, gone[at : at + len(own)]))
+        at += len(own)
     return out
 
 
+def window_hashes(words: list[str], run: int) -> np.ndarray:
+    return ngram_hashes(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), run).view(np.int64)
+
+
+def unique_runs_by_hash(streams: DataFrame, run: int) -> DataFrame:
+    """Rows with ``site, page, loose``, and ``text`` from what no other page of the site has: ``unique_runs`` over any
+    number of pages."""
+
+    def windows(batch):
+        for site, page, loose in zip(*(batch.column(k) for k in range(3)), strict=True):
+            found = np.unique(window_hashes(_words(loose.as_py()), run))
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([site.as_py()] * n, pa.int64()), pa.array([page.as_py()] * n, pa.int64()), pa.array(found)], names=["site", "page", "window"])
+
+    def texts(batch):
+        out, names = [], batch.schema.names
+        for loose, shared in zip(batch.column(names.index("loose")), batch.column(names.index("shared")), strict=True):
+            words = _words(loose.as_py())
+            edge = np.zeros(len(words) + 1, np.int64)
+            starts = np.flatnonzero(np.isin(window_hashes(words, run), np.array(shared.as_py() or [], np.int64)))
+            edge[starts] += 1
+            edge[starts + run] -= 1
+            out.append("\n".join(_kept(words, (np.cumsum(edge[:-1]) > 0).tolist())))
+        at = [i for i, name in enumerate(names) if name not in ("loose", "shared")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(out, pa.string())], names=[*(names[i] for i in at), "text"])
+
+    met = map_arrow(streams.select("site", "page", "loose"), windows, "site long, page long, window long")
+    twice = met.groupBy("site", "window").agg(F.min("page").alias("_low"), F.max("page").alias("_high")).where("_low < _high").select("site", "window")
+    shared = met.join(twice, ["site", "window"]).groupBy("site", "page").agg(F.collect_set("window").alias("shared"))
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in streams.schema if f.name not in ("loose", "site", "page")]
+    return map_arrow(streams.join(shared, ["site", "page"], "left"), texts, ", ".join(["site long, page long", *rest, "text string"]))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
     """``id_col, url_col, text`` for every row."""
     source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"))
@@ -205,17 +244,19 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     parsed = staged(map_arrow(source, rows, f"{id_col} {kind}, {url_col} string, text string, loose array<string>"), "parsed")
     streams = parsed.where("loose is not null").withColumn("_host", F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
-    sizes = streams.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).cast("int").alias("_shards"))
-    dealt = streams.join(sizes, "_host").withColumn("_shard", F.pmod(F.xxhash64(F.col(id_col)), F.col("_shards")))
+    sizes = streams.groupBy("_host").agg((F.count(F.lit(1)) > TASK_PAGES).alias("_large"))
+    dealt = streams.join(sizes, "_host")
 
-    def shard(group: pa.Table) -> pa.Table:
+    def host(group: pa.Table) -> pa.Table:
         ids = group.column(id_col)
         numbers = {x: i for i, x in enumerate(dict.fromkeys(ids.to_pylist()))}
         found = unique_runs([numbers[x] for x in ids.to_pylist()], group.column("loose").to_pylist(), run)
         return pa.table([ids, group.column(url_col), pa.array(["\n".join(b) for b in found], pa.string())], names=[id_col, url_col, "text"])
 
-    unique = dealt.select(id_col, url_col, "loose", "_host", "_shard").groupBy("_host", "_shard").applyInArrow(shard, f"{id_col} {kind}, {url_col} string, text string")
-    return parsed.where("loose is null").select(id_col, url_col, "text").unionByName(unique)
+    small = dealt.where("not _large").select(id_col, url_col, "loose", "_host").groupBy("_host").applyInArrow(host, f"{id_col} {kind}, {url_col} string, text string")
+    large = dealt.where("_large").select(F.xxhash64("_host").alias("site"), F.xxhash64(id_col).alias("page"), id_col, url_col, "loose")
+    large = unique_runs_by_hash(large, run).select(id_col, url_col, "text")
+    return parsed.where("loose is null").select(id_col, url_col, "text").unionByName(small).unionByName(large)
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

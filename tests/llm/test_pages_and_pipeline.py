@@ -102,6 +102,17 @@ def test_repeated_runs_match_brute_force():
         assert got == want
 
 
+def test_repeats_of_large_hosts(spark):
+    """A host with more pages than a task takes loses the runs that two of its pages share, and no others."""
+    rng = random.Random(9)
+    own = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(12))
+    notices, bodies = [own() for _ in range(20)], [own() for _ in range(600)]
+    rows = [(i, f"http://big.example/{i}", f"<body><p>{bodies[i]}</p><div>{notices[i % 20] if i < 40 else ''}</div></body>") for i in range(600)]
+    rows += [(0, *rows[0][1:]), (700, "http://small.example/", f"<body><p>{notices[0]}</p></body>")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted([*enumerate(bodies), (0, bodies[0]), (700, notices[0])])
+
+
 def test_segments():
     """All maximal scoring segments: disjoint, the best one included, none extendable to a better one."""
     rng = random.Random(4)
