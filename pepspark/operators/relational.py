@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pepspark.storage import ranged
+
 
 def best_row(df: DataFrame, keys: list[str], score: Column | str, ties: list[str], ascending: bool = False) -> DataFrame:
-    """The whole row with the largest (smallest) score of each group; ties go to the least ``ties``.
+    """The whole row with the largest (smallest) score of each group; ties go to the least ``ties``.  A row without a
+    score (null, NaN) wins only where no row of its group has one.
 
     An aggregate with partial combination: the shuffle carries one row for each group and task, whatever a group's size.
     """
     value = F.col(score) if isinstance(score, str) else score
-    order = F.struct(*[(-value if not ascending else value).alias("_s")], *ties)
+    order = F.struct(value.isNull().alias("_none"), (-value if not ascending else value).alias("_s"), *ties)
     row = F.min_by(F.struct(*df.columns), order)
     return df.groupBy(*keys).agg(row.alias("_row")).select("_row.*")
 
@@ -30,14 +33,13 @@ def keep_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``name``: 0, 1, 2, ... in a total order, without a single-task window.
 
-    Rows are range-partitioned; a row's number is its place in its partition after the sizes of those before.  Only the
-    partitions' sizes (one number for each) are collected in one place.
+    Rows are range-partitioned and written once; a row's number is its place in its partition after the sizes of those
+    before, one number for each partition.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    placed = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    placed = ranged(df, *order)
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_p", "_i", "_before")
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
 
 
 def batches(df: DataFrame, keys: list[str], size: int, order: list[str], name: str = "batch") -> DataFrame:
@@ -72,18 +74,39 @@ def ppm_join(theoretical: DataFrame, peaks: DataFrame, mz: str, peak_mz: str, pp
 
 
 def nearest_join(left: DataFrame, right: DataFrame, time: str, right_time: str, right_id: str, keys: list[str] = (), name: str = "nearest") -> DataFrame:
-    """``left`` with ``name``: the id of the right row nearest in time, the earlier one of two as near.
+    """``left`` with ``name``: the id of the right row nearest in time, the earlier one of two as near, the least id of
+    equal times.  Rows with a null time, or without any right row of their keys, get null.
 
-    One ordered pass over both tables together: the last right row before and the first one after each left row.
+    Both tables are ranged by time together.  Running windows in each partition give the last right row before and the
+    first one after; each partition's outermost right rows are carried to its neighbours.  So the work is linear and
+    neither a time nor a key of any frequency makes a hot task.
     """
-    marked = left.withColumns({"_row": F.struct(*left.columns), "_t": F.col(time).cast("double")}).select(*keys, "_t", "_row", F.lit(None).cast(right.schema[right_id].dataType).alias("_id"))
-    other = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), F.col(right_id).alias("_id"))
-    both = marked.unionByName(other)
-    point = F.when(F.col("_id").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
-    before = F.last(point, True).over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, True).over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_b": before, "_a": after}).where("_row is not null")
-    nearest = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t")), F.col("_b.id")).otherwise(F.col("_a.id"))
+    kind = left.select(F.struct(*left.columns)).schema[0].dataType
+    own = left.select(*keys, F.col(time).cast("double").alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"), F.xxhash64(*left.columns).alias("_h"))
+    other = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).cast("double").alias("_t")).agg(F.min(right_id).alias("_id"))
+    other = other.select(*keys, "_t", F.lit(None).cast(kind).alias("_row"), "_id", F.lit(0).cast("long").alias("_h"))
+    both = own.unionByName(other).withColumn("_side", F.col("_row").isNotNull())
+    placed = ranged(both, *keys, "_t", "_side", "_h")
+    point = F.when(~F.col("_side"), F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
+    ends = placed.where("not _side").groupBy(*keys, "_p").agg(F.max(point).alias("_last"), F.min(point).alias("_first"))
+    parts = placed.select(*keys, "_p").distinct().join(ends, [*keys, "_p"], "left")
+    tidy = Window.partitionBy(*keys)
+    carried = parts.select(
+        *keys,
+        "_p",
+        F.max("_last").over(tidy.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("_first").over(tidy.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
+    )
+    within = Window.partitionBy(*keys, "_p")
+    found = placed.withColumns(
+        {
+            "_b": F.last(point, True).over(within.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)),
+            "_a": F.last(point, True).over(within.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    ).where("_side")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_p"]]
+    found = found.alias("l").join((F.broadcast(carried) if not keys else carried).alias("r"), same).select("l._t", "_row", F.coalesce("_b", "_earlier").alias("_b"), F.coalesce("_a", "_later").alias("_a"))
+    nearest = F.when(F.col("_t").isNull(), None).when(F.col("_a").isNull() | (F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t")), F.col("_b.id")).otherwise(F.col("_a.id"))
     return found.select("_row.*", nearest.alias(name))
 
 

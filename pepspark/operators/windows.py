@@ -2,49 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pepspark.storage import ranged, staged
+
 
 def q_values(df: DataFrame, score: str, decoy: str, ties: list[str], keys: list[str] = (), ratio: float = 1.0, pi0: float = 1.0, name: str = "q_value") -> DataFrame:
     """Target-decoy q-values: decoys so far * ratio * pi0 / targets so far, then the least of a row and all below.
 
-    With ``keys`` one window a group (a run).  Without, see ``global_q_values``, which needs no single-task window.
-    """
-    ranked = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties)
-    so_far = ranked.rowsBetween(Window.unboundedPreceding, 0)
-    decoys, targets = F.sum(F.col(decoy).cast("long")).over(so_far), F.sum((~F.col(decoy)).cast("long")).over(so_far)
-    rate = F.when(targets > 0, decoys * F.lit(float(ratio)) * F.lit(float(pi0)) / F.when(targets > 0, targets)).otherwise(F.lit(float("inf")))
-    below = ranked.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("_rate", rate).withColumn(name, F.min("_rate").over(below)).drop("_rate")
-
-
-def global_q_values(df: DataFrame, score: str, decoy: str, ties: list[str], ratio: float = 1.0, pi0: float = 1.0, name: str = "q_value") -> DataFrame:
-    """The same over one ranking of the whole table, in range partitions.
-
-    Rows are range-partitioned by rank; each partition's counts before it and least rate after it (two numbers for each
-    partition) make its windows global.
+    One ranking of the whole table, or one for each of ``keys`` (runs).  Rows are range-partitioned by rank and written
+    once; windows run inside partitions, and each partition's counts before it and least rate after it (two numbers for
+    each partition and key) make them whole.  So a ranking of any length is many tasks, and each window is one pass.
     """
-    order = [F.col(score).desc(), *(F.col(t).asc() for t in ties)]
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.sum(F.col(decoy).cast("long")).alias("_d"), F.sum((~F.col(decoy)).cast("long")).alias("_t"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d0"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"))
-    inside = Window.partitionBy("_p").orderBy(*order)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(F.broadcast(offsets), "_p")
-    decoys, targets = F.col("_d0") + F.sum(F.col(decoy).cast("long")).over(so_far), F.col("_t0") + F.sum((~F.col(decoy)).cast("long")).over(so_far)
-    rated = placed.withColumn("_rate", F.when(targets > 0, decoys * F.lit(float(ratio * pi0)) / F.when(targets > 0, targets)).otherwise(F.lit(float("inf"))))
-    lows = rated.groupBy("_p").agg(F.min("_rate").alias("_low"))
-    after = lows.select("_p", F.min("_low").over(Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    own = F.min("_rate").over(inside.rowsBetween(0, Window.unboundedFollowing))
-    return rated.withColumn("_own", own).join(F.broadcast(after), "_p").withColumn(name, F.least("_own", F.coalesce("_after", F.lit(float("inf"))))).drop("_p", "_d0", "_t0", "_rate", "_own", "_after")
+    keys, single = list(keys), len(list(keys)) == 0
+    placed = ranged(df, *keys, F.col(score).desc(), *(F.col(t).asc() for t in ties))
+    is_decoy, is_target = F.col(decoy).cast("long"), (~F.col(decoy)).cast("long")
+    part, near = [*keys, "_p"], Window.partitionBy(*keys, "_p")
+    tidy = Window.partitionBy(*keys)
+    sizes = placed.groupBy(*part).agg(F.sum(is_decoy).alias("_d"), F.sum(is_target).alias("_t"))
+    before = tidy.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*part, F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d0"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"))
+    so_far = near.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    decoys, targets = F.col("_d0") + F.sum(is_decoy).over(so_far), F.col("_t0") + F.sum(is_target).over(so_far)
+    rate = F.when(targets > 0, decoys * F.lit(float(ratio * pi0)) / F.when(targets > 0, targets)).otherwise(F.lit(float("inf")))
+    upwards = near.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    rated = _met(placed, offsets, part, single).withColumn("_rate", rate).withColumn("_own", F.min("_rate").over(upwards)).drop("_rate", "_d0", "_t0")
+    rated = staged(rated, "rated")
+    lows = rated.groupBy(*part).agg(F.min("_own").alias("_low"))
+    after = tidy.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = lows.select(*part, F.coalesce(F.min("_low").over(after), F.lit(float("inf"))).alias("_after"))
+    return _met(rated, rest, part, single).withColumn(name, F.least("_own", "_after")).drop("_p", "_i", "_own", "_after")
+
+
+def _met(rows: DataFrame, parts: DataFrame, on: list[str], single: bool) -> DataFrame:
+    """``rows`` with the columns of their partition (and key; null keys are equal).  Without keys, one row for each
+    partition is broadcast."""
+    parts = parts.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    met = rows.join(F.broadcast(parts) if single else parts, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on)))
+    return met.drop(*(f"_on_{c}" for c in on))
 
 
 def grouped_q_values(df: DataFrame, group: list[str], score: str, decoy: str, ties: list[str], keys: list[str] = (), ratio: float = 1.0, name: str = "q_value") -> DataFrame:
     """q-values of groups by their best row, given to all rows; rows with a null in ``group`` stay with a null."""
     best = df.dropna(subset=group).groupBy(*keys, *group).agg(F.max(F.struct(score, decoy)).alias("_b")).select(*keys, *group, f"_b.{score}", F.col(f"_b.{decoy}").alias(decoy))
-    ranked = q_values(best, score, decoy, list(group), keys, ratio, name=name) if keys else global_q_values(best, score, decoy, list(group), ratio, name=name)
+    ranked = q_values(best, score, decoy, list(group), keys, ratio, name=name)
     on = [*keys, *group]
     return df.join(ranked.select(*on, name), on, "left")
 

@@ -104,7 +104,7 @@ _PREC = f"{_PEPTIDES}, ms AS (SELECT peptide, {_MASS} + CAST({C.WATER_MASS!r} AS
 
 def _precursors(spark, d):
     forms = D.peptides(_digest(spark, d)).withColumn("precursor_mass", D.peptide_mass(F.col("peptide")))
-    return D.precursors(forms, key="peptide")
+    return D.precursors(forms, key="peptide", number=False)
 
 
 @query("dom05_precursors", f"WITH {_PREC} SELECT peptide, precursor_charge, round(mz, 4) AS mz FROM pz WHERE mz BETWEEN 300 AND 1800")
@@ -226,7 +226,7 @@ def _(spark, d):
 @query("dom15_q_values", f"WITH {A.MATCHES} SELECT precursor_index, CASE WHEN q < CAST('inf' AS DOUBLE) THEN round(q, 6) END AS q_value FROM {q_sql('pmsm', '', 'precursor_index', 1.0)}")
 def _(spark, d):
     best = A.matches(spark, d).groupBy("precursor_index").agg(F.max(F.struct("score", "is_decoy")).alias("b")).select("precursor_index", "b.*")
-    return W.global_q_values(best, "score", "is_decoy", ["precursor_index"]).select("precursor_index", finite("q_value"))
+    return W.q_values(best, "score", "is_decoy", ["precursor_index"]).select("precursor_index", finite("q_value"))
 
 
 @query("dom16_peptide_q_values", f"WITH {A.MATCHES} SELECT peptidoform_index, CASE WHEN q < CAST('inf' AS DOUBLE) THEN round(q, 6) END AS q_value FROM {q_sql('pmsm', '', 'peptidoform_index', 2.0)}")

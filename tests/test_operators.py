@@ -26,8 +26,68 @@ def one(spark, expression):
 def test_q_values(spark):
     rows = spark.createDataFrame([(6 - i, 6.0 - i, bool(d)) for i, d in enumerate((0, 0, 1, 0, 1, 1))], "id int, score double, is_decoy boolean")
     want = [0, 0, 1 / 3, 1 / 3, 2 / 3, 1]
-    for df in (W.q_values(rows, "score", "is_decoy", ["id"]), W.global_q_values(rows, "score", "is_decoy", ["id"])):
-        assert [r["q_value"] for r in df.orderBy(F.desc("score")).collect()] == pytest.approx(want)
+    assert [r["q_value"] for r in W.q_values(rows, "score", "is_decoy", ["id"]).orderBy(F.desc("score")).collect()] == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("adaptive", "partitions"), [("true", 4), ("true", 37), ("false", 5)])
+def test_wide_tables_keep_all_rows(spark, adaptive, partitions):
+    """Ids and q-values of tables with more columns than the ranking needs, one key holding half of the rows."""
+    n = 100_000
+    shared = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive), spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(n).select(
+            "id", F.pmod(F.xxhash64("id"), F.lit(5000)).cast("double").alias("score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).alias("is_decoy"),
+            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 7).cast("int").alias("run"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), F.array("id", "id").alias("list"),
+        )
+        table = rows.toPandas().sort_values(["score", "id"], ascending=[False, True])
+        numbered = R.dense_id(rows, ["wide", "id"], "n").select("id", "n", "list").toPandas()
+        assert sorted(numbered["n"]) == list(range(n))
+        assert list(numbered.sort_values("n")["id"]) == list(table.sort_values("wide")["id"])
+        for keys in ([], ["run"]):
+            got = W.q_values(rows, "score", "is_decoy", ["id"], keys).select("id", "q_value", "wide", "list").toPandas().set_index("id")["q_value"]
+            assert len(got) == n
+            for _, own in table.groupby(keys) if keys else [(None, table)]:
+                decoys = own["is_decoy"].to_numpy()
+                rate = np.cumsum(decoys) / np.maximum(np.cumsum(~decoys), 1)
+                rate[np.cumsum(~decoys) == 0] = np.inf
+                np.testing.assert_allclose(got[own["id"]], np.minimum.accumulate(rate[::-1])[::-1])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", shared[0]), spark.conf.set("spark.sql.shuffle.partitions", shared[1])
+
+
+def test_best_row_without_score(spark):
+    rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, None), (1, 3, float("nan")), (2, 4, None), (2, 5, None)], "g int, id int, score double")
+    for ascending in (False, True):
+        assert {r["g"]: r["id"] for r in R.best_row(rows, ["g"], "score", ["id"], ascending).collect()} == {1: 1, 2: 4}
+
+
+def test_nearest_join_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    left = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 400)) / 4) for i in range(3000)] + [(9000, 0, None), (9001, 9, 1.0)]
+    right = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 400)) / 2) for i in range(150)]
+    a = spark.createDataFrame(left, "id int, g int, t double").repartition(7)
+    b = spark.createDataFrame(right, "rid int, g int, rt double")
+    got = {r["id"]: r["nearest"] for r in R.nearest_join(a, b, "t", "rt", "rid", ["g"]).collect()}
+    assert len(got) == len(left)
+    for i, g, t in left:
+        near = sorted((abs(rt - t), rt, rid) for rid, h, rt in right if h == g) if t is not None else []
+        assert got[i] == (near[0][2] if near else None)
+
+
+def test_match_clusters_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 2)), int(rng.integers(0, 40)), i, sorted({int(x) for x in rng.integers(0, 8, 4)} | {-1})) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, frame int, id int, peaks array<int>")
+    got = {(r["g"], r["id"]): r["cluster"] for r in I.cluster_matches(df, ["g"], "frame", "id", "peaks", 3, 0.5).collect()}
+    for g in (0, 1):
+        leaders = []
+        for _, frame, i, peaks in sorted((x for x in rows if x[0] == g), key=lambda x: (x[1], x[2])):
+            own = set(peaks) - {-1}
+            fits = [c for c, (f, other) in enumerate(leaders) if frame - f <= 3 and len(own & other) >= 0.5 * len(own | other)]
+            if not fits:
+                leaders.append((frame, own))
+            assert got[g, i] == (fits[-1] if fits else len(leaders) - 1)
 
 
 def test_digest(spark):
@@ -100,7 +160,7 @@ def test_nearest_and_interval_joins(spark):
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id int, score double, is_decoy boolean")
-    assert W.global_q_values(empty, "score", "is_decoy", ["id"]).count() == 0
+    assert W.q_values(empty, "score", "is_decoy", ["id"]).count() == 0
     assert R.dense_id(empty, ["id"], "n").count() == 0
     assert R.best_row(empty, ["id"], "score", ["id"]).count() == 0
 
