@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from pepspark.plans.workflow import run_search
+from pepspark.sources.sinks import summary_text
 
 
 def main(args: list[str] | None = None) -> None:
@@ -16,7 +17,7 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("pepspark").getOrCreate()
     spark.sparkContext.setLogLevel(given.log_level)
-    run_search(spark, given.config)["summary"].show(1000, False)
+    print(summary_text(run_search(spark, given.config)["summary"]))
 
 
 if __name__ == "__main__":

@@ -14,6 +14,7 @@ DEFAULTS = {
     "ms2_mass_tol_in_ppm": 10,
     "report_format": "tsv",
     "decoy": "map",
+    "least_peaks": 16,
     "digest": {"enzyme": "trypsin", "min_len": 7, "max_len": 30, "max_missed_cleavages": 1, "n_term_methionine_excision": True},
     "modification": {"max_mods": 2, "mod_param_set": []},
     "precursor": {"min_charge": 1, "max_charge": 4, "min_mz": 300, "max_mz": 1800},
@@ -54,10 +55,17 @@ def check(given: dict) -> dict:
     return out
 
 
-def input_files(config: dict) -> list[str]:
+def input_files(config: dict, spark=None) -> list[str]:
+    """The named files, or those in the folder with a known extension; with a session, of any file system it reads."""
     if config.get("input_files"):
         return list(config["input_files"])
-    return sorted(p for p in glob.glob(os.path.join(config["input_dir"], "*")) if p.lower().endswith(EXTENSIONS))
+    if spark is None:
+        found = glob.glob(os.path.join(config["input_dir"], "*"))
+    else:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(config["input_dir"])
+        found = [s.getPath().toString() for s in folder.getFileSystem(conf).listStatus(folder)]
+    return sorted(p for p in found if p.lower().endswith(EXTENSIONS))
 
 
 def differences(a: dict, b: dict, prefix: str = "") -> dict[str, tuple]:

@@ -47,18 +47,20 @@ def plain(peptide: Column | str) -> Column:
 
 
 def decoy_by_map(peptide: Column | str) -> Column:
-    """Second and second last residue exchanged by the fixed table; terminal characters stay."""
+    """Second and second last residue exchanged by the fixed table; terminal characters stay.  Peptides of fewer than four
+    residues, where these aren't two places apart from the ends, are their own decoys."""
     p = col(peptide)
     n = F.length(p)
     second, last = F.translate(F.substr(p, F.lit(3), F.lit(1)), C.DECOY_FROM, C.DECOY_TO), F.translate(F.substr(p, n - 2, F.lit(1)), C.DECOY_FROM, C.DECOY_TO)
-    return F.concat(F.substr(p, F.lit(1), F.lit(2)), second, F.substr(p, F.lit(4), n - 6), last, F.substr(p, n - 1, F.lit(2)))
+    decoy = F.concat(F.substr(p, F.lit(1), F.lit(2)), second, F.substr(p, F.lit(4), n - 6), last, F.substr(p, n - 1, F.lit(2)))
+    return F.when(n < 6, p).otherwise(decoy)
 
 
 def decoy_reversed(peptide: Column | str) -> Column:
     """All residues but the last in reverse."""
     p = col(peptide)
     n = F.length(p)
-    return F.concat(F.substr(p, F.lit(1), F.lit(1)), F.reverse(F.substr(p, F.lit(2), n - 3)), F.substr(p, n - 1, F.lit(2)))
+    return F.when(n < 4, p).otherwise(F.concat(F.substr(p, F.lit(1), F.lit(1)), F.reverse(F.substr(p, F.lit(2), n - 3)), F.substr(p, n - 1, F.lit(2))))
 
 
 def modified_sequence(peptide: Column | str, mod_ids: Column | str, sites: Column | str) -> Column:
@@ -78,6 +80,49 @@ def parsed_sequence(text: Column | str) -> Column:
     return F.struct(bare.alias("plain"), F.transform(mods, lambda m: m["site"]).alias("sites"), F.transform(mods, lambda m: m["unimod"]).alias("unimod"))
 
 
+def native_terminals(text: Column | str) -> Column:
+    """A peptide of any dialect between the native terminal characters: ``_PEP_``, ``-.PEP.-`` and bare ``PEP`` are peptides
+    inside a protein; text that has native ones stays."""
+    t = col(text)
+    native = t.rlike(r"^[<_](?s:.*)[.>](?:\([^()]*\)|\[[^\]]*\])*$")
+    return (
+        F.when(native, t)
+        .when(t.startswith("_"), F.regexp_replace(t, r"_(?=(?:\([^()]*\)|\[[^\]]*\])*$)", "."))
+        .when(t.startswith("-."), F.replace(F.replace(t, F.lit("-."), F.lit("_")), F.lit(".-"), F.lit(".")))
+        .otherwise(F.concat(F.lit("_"), t, F.lit(".")))
+    )
+
+
+def modification_number(text: Column) -> Column:
+    """The accession that ``UniMod:n``, a name, ``Name (X)`` or a mass (``+57``, ``+57.02``, to its own decimals) means, or null."""
+    known = list(C.MODIFICATIONS.items())
+    names = F.create_map(*[x for name, (number, _) in known for x in (F.lit(name.lower()), F.lit(number).cast("bigint"))])
+    unimod = F.regexp_extract(text, r"(?i)^unimod:(\d+)$", 1)
+    number = F.regexp_extract(text, r"^([+-]?\d+(?:\.\d*)?)$", 1)
+    half = F.pow(F.lit(10.0), -F.length(F.regexp_extract(number, r"\.(\d*)$", 1))) / 2
+    masses = F.array(*[F.struct(F.lit(C.composition_mass(parts)).alias("mass"), F.lit(n).cast("bigint").alias("number")) for _, (n, parts) in known])
+    off = F.transform(masses, lambda m: F.struct(F.abs(m["mass"] - number.try_cast("double")).alias("off"), m["number"].alias("number")))
+    nearest = F.array_min(off)
+    by_mass = F.when(nearest["off"] <= half, nearest["number"])
+    return F.when(unimod != "", unimod.try_cast("bigint")).when(number != "", by_mass).otherwise(names[F.lower(F.regexp_replace(text, r" \([^)]*\)", ""))])
+
+
+def parsed_dialect(text: Column | str) -> Column:
+    """struct(plain, sites array, unimod array) of a modified sequence of any dialect: ``(UniMod:n)``, ``(Name)``, ``[+mass]``,
+    ``[Name (X)]``; a modification that isn't known has a null accession."""
+    t = native_terminals(text)
+    part = r"([A-Z<_.>])((?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])*)"
+    parts = F.regexp_extract_all(t, F.lit(part), F.lit(0))
+    bare = F.array_join(F.transform(parts, lambda x: F.substring(x, 1, 1)), "")
+
+    def marks(x, i):
+        found = F.regexp_extract_all(x, F.lit(r"\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]"), F.lit(0))
+        return F.transform(found, lambda m: F.struct(i.alias("site"), modification_number(F.substr(m, F.lit(2), F.length(m) - 2)).alias("unimod")))
+
+    mods = F.flatten(F.transform(parts, marks))
+    return F.struct(bare.alias("plain"), F.transform(mods, lambda m: m["site"]).alias("sites"), F.transform(mods, lambda m: m["unimod"]).alias("unimod"))
+
+
 def composition(text: Column | str) -> Column:
     """Atom counts of ``C(2) H(3)`` or ``C2H3`` as map<string,int>; an atom without a number counts once."""
     atoms = F.regexp_extract_all(col(text), F.lit(r"([A-Z][a-z]?)\(?(-?\d*)\)?"), F.lit(1))
@@ -121,12 +166,43 @@ def ppm_bin(mz: Column | str, ppm: float, start: float = 1.0) -> Column:
     return F.ceil(F.log(col(mz) / start) / F.log1p(F.lit(ppm * 1e-6)))
 
 
-def prefix_masses(sequence: Column | str) -> Column:
-    """Running sums of the residues' masses."""
+def nominal_mass_sum(sequence: Column | str) -> Column:
+    """Sum of the residues' nominal masses, whole numbers."""
+    s = col(sequence)
+    terms = [(F.length(s) - F.length(F.replace(s, F.lit(r)))) * F.lit(m) for r, m in C.NOMINAL_RESIDUE_MASSES.items()]
+    return reduce(lambda a, b: a + b, terms)
+
+
+RUNNING_BLOCK = 256
+
+
+def running_sums(values: Column | str) -> Column:
+    """Running sums of an array.  Sums run over some elements at a time and then over these blocks, so that long arrays
+    don't cost the square of their length."""
+    v = col(values)
+    zero = F.array().cast("array<double>")
+
+    def sums(a):
+        return F.aggregate(a, zero, lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / RUNNING_BLOCK).cast("int") - 1), lambda b: sums(F.slice(v, b * RUNNING_BLOCK + 1, F.lit(RUNNING_BLOCK))))
+    begins = F.concat(F.array(F.lit(0.0)), sums(F.transform(blocks, lambda b: F.element_at(b, -1))))
+    long = F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, by: F.transform(b, lambda x: x + by)))
+    return F.when(F.size(v) <= RUNNING_BLOCK, sums(v)).otherwise(long)
+
+
+def prefix_masses(sequence: Column | str, mod_sites: Column | str | None = None, mod_masses: Column | str | None = None) -> Column:
+    """Running sums of the residues' masses.  Modification masses are added at their sites in the peptide with its terminal
+    characters (0: before the first residue, -1: after the last), which count with the first and last residue."""
     s = col(sequence)
     table = F.create_map(*[F.lit(x) for r, m in C.RESIDUE_MASSES.items() for x in (r, m)])
-    masses = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.coalesce(table[c], F.lit(0.0)))
-    return F.aggregate(masses, F.array().cast("array<double>"), lambda a, m: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + m)))
+    letters = F.filter(F.split(s, ""), lambda c: c != "")
+    masses = F.transform(letters, lambda c: F.coalesce(table[c], F.lit(0.0)))
+    if mod_sites is not None:
+        n = F.length(s)
+        mods = F.zip_with(col(mod_sites), col(mod_masses), lambda a, m: F.struct(F.least(F.greatest(F.when(a < 0, n).otherwise(a), F.lit(1)), n).alias("at"), m.alias("mass")))
+        masses = F.transform(masses, lambda m, i: m + F.aggregate(F.filter(mods, lambda x: x["at"] == i + 1), F.lit(0.0), lambda t, x: t + x["mass"]))
+    return running_sums(masses)
 
 
 def mod_id(unimod: Column | str, location: Column | str, residue: Column | str, fixed: Column | str) -> Column:
@@ -192,6 +268,23 @@ def trapezoid(x: Column | str, y: Column | str) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
 
 
+def mean_cubed_correlation(rows: Column | str) -> Column:
+    """Mean over all pairs of arrays of their cubed correlation; 0 for fewer than two."""
+    a = col(rows)
+    unit = F.transform(a, lambda v: _standardised(v))
+    n = F.size(a)
+    pairs = F.flatten(F.transform(unit, lambda x, i: F.transform(F.slice(unit, i + 2, n), lambda y: F.pow(dot(x, y), F.lit(3)))))
+    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), n * (n - 1) / 2))
+
+
+def _standardised(v: Column) -> Column:
+    """Centred and of length 1; zeros for an array that doesn't vary."""
+    middle = mean(v)
+    centred = F.transform(v, lambda x: x.cast("double") - middle)
+    size = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(centred, lambda x: F.when(size > 1e-12, x / size).otherwise(0.0))
+
+
 def max_normalised(a: Column | str) -> Column:
     most = F.array_max(col(a)).cast("double")
     return F.transform(col(a), lambda x: F.when(most > 0, x / most).otherwise(0.0))

@@ -64,5 +64,7 @@ def composition_mass(composition: dict[str, int]) -> float:
 
 
 RESIDUE_MASSES = {r: composition_mass(c) for r, c in RESIDUE_COMPOSITIONS.items()}
+#: Nominal masses: the numbers of nucleons of the commonest isotopes.
+NOMINAL_RESIDUE_MASSES = {r: sum(round(ATOM_MASSES[a]) * n for a, n in c.items()) for r, c in RESIDUE_COMPOSITIONS.items()}
 WATER_MASS = composition_mass({"H": 2, "O": 1})
 PHOSPHORIC_ACID_MASS = composition_mass({"H": 3, "P": 1, "O": 4})

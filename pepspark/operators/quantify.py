@@ -11,10 +11,21 @@ from pepspark.operators.relational import top_k
 from pepspark.operators.windows import trapezoid_area
 
 
-def ms1_area(points: DataFrame, keys: list[str], time: str, rt: str, ab: str, first: int = 1, last: int = 7) -> DataFrame:
-    """Area under the summed precursor intensities of time steps first..last; groups without points have no row."""
-    summed = points.where(F.col(time).between(first, last)).groupBy(*keys, time).agg(F.sum(ab).alias(ab), F.min(rt).alias(rt))
-    return trapezoid_area(summed, keys, rt, ab, "ms1_area")
+def ms1_area(points: DataFrame, keys: list[str], time: str, ab: str, axis: DataFrame | None = None, rt: str = "rt", first: int = 1, last: int = 7) -> DataFrame:
+    """Area under the summed precursor intensities of time steps first..last, steps without a point being 0; null for groups
+    without any point there.
+
+    ``axis`` (``keys, time, rt``) has the steps' times, for data-independent runs; without it steps are one apart, as
+    data-dependent runs take them.
+    """
+    inside = F.col(time).between(first, last)
+    if axis is None:
+        ends = F.when(F.col(time).isin(first, last), 0.5).otherwise(1.0)
+        return points.groupBy(*keys).agg(F.sum(F.when(inside, F.col(ab) * ends)).alias("ms1_area"))
+    w = Window.partitionBy(*keys).orderBy(time)
+    step = (F.coalesce(F.lead(rt).over(w), F.col(rt)) - F.coalesce(F.lag(rt).over(w), F.col(rt))) / 2
+    weights = axis.where(inside).select(*keys, time, step.alias("_w"))
+    return points.join(weights, [*keys, time], "left").groupBy(*keys).agg(F.sum(F.when(inside, F.col(ab) * F.coalesce("_w", F.lit(0.0)))).alias("ms1_area"))
 
 
 def apex_median(points: DataFrame, keys: list[str], time: str, ab: str) -> DataFrame:
@@ -25,13 +36,17 @@ def apex_median(points: DataFrame, keys: list[str], time: str, ab: str) -> DataF
 
 def fragment_scores(points: DataFrame, group: list[str], fragment: str, time: str, ab: str) -> DataFrame:
     """``r3, intensity``: cubed correlation of each fragment's chromatogram with the group's mean one, each scaled by its
-    95th percentile; and the sum of steps 2..4."""
+    95th percentile; and the sum of steps 2..4 over the median positive one of the group.  Fragments without intensity there
+    have a null r3."""
     scale = points.groupBy(*group, fragment).agg(F.percentile(ab, F.lit(0.95)).alias("_s"))
     scaled = points.join(scale, [*group, fragment]).withColumn("_v", F.when(F.col("_s") > 0, F.col(ab) / F.when(F.col("_s") > 0, F.col("_s"))).otherwise(0.0))
     mean = scaled.withColumn("_ref", F.avg("_v").over(Window.partitionBy(*group, time)))
     r = F.corr("_v", "_ref")
     r = F.coalesce(F.when(F.isnan(r), 0.0).otherwise(r), F.lit(0.0))
-    return mean.groupBy(*group, fragment).agg(F.pow(r, 3).alias("r3"), F.coalesce(F.sum(F.when(F.col(time).between(2, 4), F.col(ab))), F.lit(0.0)).alias("intensity"))
+    each = mean.groupBy(*group, fragment).agg(F.pow(r, 3).alias("r3"), F.coalesce(F.sum(F.when(F.col(time).between(2, 4), F.col(ab).cast("double"))), F.lit(0.0)).alias("_sum"))
+    middle = each.where("_sum > 0").groupBy(*group).agg(F.greatest(F.median("_sum"), F.lit(1e-9)).alias("_middle"))
+    found = each.join(middle, group, "left")
+    return found.select(*group, fragment, F.when(F.col("_sum") > 0, F.col("r3")).alias("r3"), F.coalesce(F.col("_sum") / F.col("_middle"), F.lit(0.0)).alias("intensity"))
 
 
 def median_deviation(df: DataFrame, keys: list[str], value: str, name: str = "mad") -> DataFrame:
@@ -43,11 +58,11 @@ def median_deviation(df: DataFrame, keys: list[str], value: str, name: str = "ma
 
 def select_fragments(scores: DataFrame, precursor: list[str], fragment: str, k: int = 6, beta: float = 0.0) -> DataFrame:
     """The k fragments of each precursor that score best over runs: median r3, times exp(-beta * MAD of log intensity)."""
-    merit = scores.groupBy(*precursor, fragment).agg(F.median("r3").alias("merit"))
+    merit = scores.groupBy(*precursor, fragment).agg(F.median("r3").alias("merit")).where("merit is not null")
     if beta:
         spread = median_deviation(scores, [*precursor, fragment], "intensity")
         merit = merit.join(spread, [*precursor, fragment], "left").withColumn("merit", F.col("merit") * F.exp(-beta * F.coalesce("mad", F.lit(0.0)))).drop("mad")
-    return top_k(merit, precursor, k, F.col("merit").desc(), F.col(fragment))
+    return top_k(merit.withColumn("merit", F.round("merit", 6)), precursor, k, F.col("merit").desc(), F.col(fragment))
 
 
 def ms2_area(points: DataFrame, selected: DataFrame, group: list[str], precursor: list[str], fragment: str, time: str, rt: str, ab: str) -> DataFrame:

@@ -30,7 +30,13 @@ def keep_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return top_k(df, keys, 1, *order)
 
 
-def dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def distinct_with_null(value: Column | str) -> Column:
+    """Number of distinct values, null being one."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.count_distinct(value) + F.max(value.isNull().cast("int"))
+
+
+def dense_id(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """``name``: 0, 1, 2, ... in a total order, without a single-task window.
 
     Rows are range-partitioned and written once; a row's number is its place in its partition after the sizes of those

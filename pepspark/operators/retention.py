@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pepspark.operators.relational import best_row
+from pepspark.storage import staged
 
 
 def project(df: DataFrame, reference: str, low: float, high: float, gradient: tuple[float, float], tolerance: float = 1 / 3) -> DataFrame:
@@ -52,20 +53,37 @@ def polynomial(coefficients, x):
     return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda a, c: a * x + c)
 
 
-def calibrate(df: DataFrame, keys: list[str], x: str, y: str, degree: int = 2, sigmas: float = 8.0, least: float = 0.15, most: float = 0.25) -> DataFrame:
-    """Fitted time with lower and upper bounds: the spreads of residuals on each side, in the given shares of the range."""
-    fitted = df.join(fit_polynomials(df, keys, x, y, degree), keys).withColumn("predicted_rt", polynomial(F.col("coefficients"), F.col(x))).drop("coefficients")
-    off = F.col(y) - F.col("predicted_rt")
-    spread = fitted.groupBy(*keys).agg(
-        F.sqrt(F.avg(F.when(off < 0, off * off))).alias("_below"), F.sqrt(F.avg(F.when(off >= 0, off * off))).alias("_above"), F.min(y).alias("_a"), F.max(y).alias("_b")
-    )
-    span = F.col("_b") - F.col("_a")
+def calibrate(train: DataFrame, keys: list[str], x: str, y: str, degree: int = 2, sigmas: float = 8.0, least: float = 0.15, most: float = 0.25, rows: DataFrame | None = None, gradient: DataFrame | None = None) -> DataFrame:
+    """``rows`` (or the training rows) with ``predicted_rt, rt_low, rt_high``: a fitted time with bounds of its own.
+
+    Residuals above and below the fit are fitted apart, as polynomials of the predicted time, so the bounds follow how far
+    off times are there: ``sigmas`` times that, in the given shares of the run's ``gradient`` (``keys, first, last``; the
+    training times' range where not given), and inside it.
+    """
+    fits = staged(fit_polynomials(train, keys, x, y, degree).withColumnRenamed("coefficients", "_fit"), "fits")
+    value = polynomial(F.col("_fit"), F.col(x))
+    off = train.join(F.broadcast(fits), keys).select(*keys, value.alias("_predicted"), (F.col(y) - value).alias("_off"))
+    off = staged(off, "residuals")
+    above = fit_polynomials(off.where("_off > 0"), keys, "_predicted", "_off", degree).withColumnRenamed("coefficients", "_above")
+    below = fit_polynomials(off.where("_off < 0").withColumn("_off", -F.col("_off")), keys, "_predicted", "_off", degree).withColumnRenamed("coefficients", "_below")
+    span = gradient if gradient is not None else train.groupBy(*keys).agg(F.min(y).alias("first"), F.max(y).alias("last"))
+    model = fits.join(above, keys, "left").join(below, keys, "left").join(span.select(*keys, F.col("first").alias("_a"), F.col("last").alias("_b")), keys)
+    placed = (train if rows is None else rows).join(F.broadcast(model), keys).withColumn("predicted_rt", value)  # a few numbers for each run
+    size = F.col("_b") - F.col("_a")
 
     def width(c):
-        return F.greatest(least * span, F.least(most * span, sigmas * F.coalesce(F.col(c), F.lit(0.0))))
+        return F.greatest(least * size, F.least(most * size, sigmas * F.coalesce(polynomial(F.col(c), F.col("predicted_rt")), F.lit(0.0))))
+
+    low, high = F.col("predicted_rt") - width("_below"), F.col("predicted_rt") + width("_above")
+    inside = lambda c: F.greatest(F.col("_a"), F.least(F.col("_b"), c))
+    return placed.withColumns({"rt_low": inside(low), "rt_high": inside(high)}).drop("_fit", "_above", "_below", "_a", "_b")
+
 
-    rows = fitted.join(spread, keys)
-    return rows.withColumns({"rt_low": F.greatest(F.col("_a"), F.col("predicted_rt") - width("_below")), "rt_high": F.least(F.col("_b"), F.col("predicted_rt") + width("_above"))}).drop("_below", "_above", "_a", "_b")
+def calibrate_run(matches: DataFrame, keys: list[str], reference: str, observed: str, q: str = "q_value", decoy: str = "is_decoy", quick: bool = True, second: bool = False, rows: DataFrame | None = None, gradient: DataFrame | None = None) -> DataFrame:
+    """Calibration by confident targets: those of the quick search as they come, or of a full search within 1 %; of degree 5
+    in the first search and 2 in the second."""
+    train = matches.where(~F.col(decoy)) if quick else matches.where(~F.col(decoy) & (F.col(q) <= 0.01))
+    return calibrate(train, keys, reference, observed, 2 if second else 5, rows=rows, gradient=gradient)
 
 
 def align_runs(matches: DataFrame, run: str, precursor: str, rt: str, score: str, ident: str, degree: int = 2) -> DataFrame:

@@ -9,18 +9,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pepspark.operators.sampling import split_decoys
+
 
 class Scorer(Protocol):
     def score(self, candidates: DataFrame) -> DataFrame:
         """``candidates`` with a ``score double`` column."""
 
 
-def split_decoys(df: DataFrame, ident: str, decoy: str, percent: int = 50, seed: int = 928) -> tuple[DataFrame, DataFrame]:
-    """(train, test): targets are in both, decoys in one, by a hash of the id."""
-    in_train = F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(100)) < percent
-    return df.where(~F.col(decoy) | in_train), df.where(~F.col(decoy) | ~in_train)
-
-
 class LogisticScorer:
     """Targets against decoys by logistic regression; the score is the log-odds."""
 
@@ -38,4 +34,4 @@ class LogisticScorer:
 
     def score(self, candidates: DataFrame) -> DataFrame:
         scored = self.model.setRawPredictionCol("_raw").transform(self._vectors(candidates))
-        return scored.withColumn("score", vector_to_array("_raw")[1]).select(*candidates.columns, "score")
+        return scored.withColumn("score", vector_to_array("_raw")[1]).select(*(c for c in candidates.columns if c != "score"), "score")

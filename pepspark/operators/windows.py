@@ -48,12 +48,45 @@ def _met(rows: DataFrame, parts: DataFrame, on: list[str], single: bool) -> Data
 
 def grouped_q_values(df: DataFrame, group: list[str], score: str, decoy: str, ties: list[str], keys: list[str] = (), ratio: float = 1.0, name: str = "q_value") -> DataFrame:
     """q-values of groups by their best row, given to all rows; rows with a null in ``group`` stay with a null."""
-    best = df.dropna(subset=group).groupBy(*keys, *group).agg(F.max(F.struct(score, decoy)).alias("_b")).select(*keys, *group, f"_b.{score}", F.col(f"_b.{decoy}").alias(decoy))
+    best = df.dropna(subset=group).groupBy(*keys, *group).agg(F.max(F.struct(score, decoy)).alias("_b"))
+    best = best.select(*keys, *group, f"_b.{score}", *([] if decoy in group else [f"_b.{decoy}"]))
     ranked = q_values(best, score, decoy, list(group), keys, ratio, name=name)
     on = [*keys, *group]
     return df.join(ranked.select(*on, name), on, "left")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
+    """``name``: the sum of a row's value and of all before it in a total order, in range partitions."""
+    placed = ranged(df, *order)
+    sums = placed.groupBy("_p").agg(F.sum(value).alias("_s"))
+    offsets = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + inside).drop("_p", "_i", "_before")
+
+
+def clip_positions(df: DataFrame, keys: list[str], position: str, low: Column | int, high: Column | int) -> DataFrame:
+    """The distinct positions inside the bounds; all below count as the lower bound, all above as the upper."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    return df.select(*keys, F.greatest(low, F.least(high, F.col(position))).alias(position)).distinct()
+
+
+def signal_to_noise(df: DataFrame, keys: list[str], value: str, name: str = "snr") -> DataFrame:
+    """Largest value over the mean of the lowest fifth (rounded down); null for groups of fewer than five."""
+    w = Window.partitionBy(*keys)
+    ranked = df.select(*keys, value).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
+    low = F.avg(F.when(F.col("_r") <= F.floor(F.col("_n") * 0.2), F.col(value)))
+    return ranked.groupBy(*keys).agg((F.max(value) / (low + 1e-9)).alias(name))
+
+
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str = "median") -> DataFrame:
+    """The least value at which the weights of it and of all smaller ones make half of the group's."""
+    sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy(*keys)
+    so_far = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    half = sums.withColumns({"_c": so_far, "_half": F.sum("_w").over(w) / 2})
+    return half.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_c") >= F.col("_half"), F.col(value))), F.max(value)).alias(name))
+
+
 def local_maxima(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
     """``keys, position``: middles (rounded down) of plateaus that are higher than both neighbours.
 
@@ -82,9 +115,9 @@ def cluster_peaks(df: DataFrame, keys: list[str], position: str, weight: str, ga
     return best_row(gap_clusters(df, keys, position, gap), [*keys, "cluster"], weight, [position])
 
 
-def dense_axis(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
-    """Every position from a group's first to last, with 0 where there is no row."""
-    axis = df.groupBy(*keys).agg(F.min(position).alias("_a"), F.max(position).alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b")).alias(position))
+def dense_axis(df: DataFrame, keys: list[str], position: str, value: str, pad: int = 0) -> DataFrame:
+    """Every position from a group's first to last, and ``pad`` beyond, with 0 where there is no row."""
+    axis = df.groupBy(*keys).agg(F.min(position).alias("_a"), F.max(position).alias("_b")).select(*keys, F.explode(F.sequence(F.col("_a") - pad, F.col("_b") + pad)).alias(position))
     return axis.join(df.groupBy(*keys, position).agg(F.max(value).alias(value)), [*keys, position], "left").fillna(0, [value])
 
 

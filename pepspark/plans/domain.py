@@ -133,10 +133,19 @@ def _(spark, d):
     return ions.groupBy("peptide").agg(F.count(F.lit(1)).alias("n"), F.sum("cleavage_index").alias("places"), F.round(F.min("mz"), 3).alias("low"), F.round(F.max("mz"), 3).alias("high"), F.round(F.sum("mz"), 1).alias("total"))
 
 
-@query("dom06b_spectral_library")
+@query(
+    "dom06b_spectral_library",
+    f"""WITH {_PEPTIDES}, rm(r, mass) AS (VALUES {_RES}), b AS (SELECT peptide, regexp_replace(peptide, '^[<_]|[.>]$', '', 'g') AS s FROM pt),
+    e AS (SELECT peptide, i, length(s) AS n, mass FROM (SELECT peptide, s, unnest(range(0, length(s))) AS i FROM b) JOIN rm ON rm.r = s[i + 1]),
+    f AS (SELECT peptide, i, n, sum(mass) OVER (PARTITION BY peptide ORDER BY i) AS pre, sum(mass) OVER (PARTITION BY peptide) AS tot FROM e),
+    g AS (SELECT peptide, i::int AS cleavage_index, p AS is_prefix, z::int AS charge, (CASE WHEN p THEN pre ELSE tot - pre + CAST({C.WATER_MASS!r} AS DOUBLE) END) / z + CAST({C.PROTON_MASS!r} AS DOUBLE) AS mz FROM f, (SELECT unnest([true, false]) AS p), range(1, 3) t(z) WHERE i < n - 1),
+    h AS (SELECT *, round(exp(-abs(mz - 600) / 300), 6) AS x FROM g WHERE mz BETWEEN 200 AND 1800),
+    k AS (SELECT *, row_number() OVER (PARTITION BY peptide ORDER BY x DESC, cleavage_index, is_prefix, charge) AS rank FROM h WHERE x >= 1e-4)
+    SELECT peptide, cleavage_index, is_prefix, charge, rank::int AS rank, round(x / max(x) OVER (PARTITION BY peptide), 4) AS intensity FROM k WHERE rank <= 16""",
+)
 def _(spark, d):
-    ions = D.fragments(D.peptides(_digest(spark, d)), "peptide").withColumn("predicted_intensity", F.exp(-F.abs(F.col("mz") - 600) / 300))
-    return D.spectral_library(ions, "peptide")
+    ions = D.fragments(D.peptides(_digest(spark, d)), "peptide").withColumn("predicted_intensity", F.round(F.exp(-F.abs(F.col("mz") - 600) / 300), 6))
+    return D.spectral_library(ions, "peptide").select("peptide", "cleavage_index", "is_prefix", "charge", "rank", F.round("predicted_intensity", 4).alias("intensity"))
 
 
 @query("dom41_peptide_masses", f"WITH {_PEPTIDES} SELECT peptide, round({_MASS} + CAST({C.WATER_MASS!r} AS DOUBLE), 4) AS mass FROM pt")
@@ -144,21 +153,47 @@ def _(spark, d):
     return D.peptides(_digest(spark, d)).select("peptide", F.round(D.peptide_mass(F.col("peptide")), 4).alias("mass"))
 
 
-@query("dom38_dialects", f"WITH {_PEPTIDES} SELECT peptide, regexp_replace(peptide, '^[<_]|[.>]$', '', 'g') AS bare, replace(regexp_replace(peptide, '^[<_]|[.>]$', '', 'g'), 'C', 'C(UniMod:4)') AS unimod, replace(regexp_replace(peptide, '^[<_]|[.>]$', '', 'g'), 'C', 'C[+57]') AS skyline FROM pt")
+@query("dom38_dialects", f"WITH {_PEPTIDES} SELECT peptide, replace(peptide, 'C', 'C(UniMod:4)') AS native, regexp_replace(peptide, '^[<_]|[.>]$', '', 'g') AS bare, replace(regexp_replace(peptide, '^[<_]|[.>]$', '', 'g'), 'C', 'C(UniMod:4)') AS unimod, replace(regexp_replace(peptide, '^[<_]|[.>]$', '', 'g'), 'C', 'C[+57]') AS skyline FROM pt")
 def _(spark, d):
     forms = D.modify(D.peptides(_digest(spark, d)), [("Carbamidomethyl", "C", "anywhere", True)], 0)
-    text = K.plain(K.modified_sequence("peptide", "mod_ids", "mod_sites"))
-    return forms.select("peptide", K.plain("peptide").alias("bare"), text.alias("unimod"), F.replace(text, F.lit("(UniMod:4)"), F.lit("[+57]")).alias("skyline"))
+    native = K.modified_sequence("peptide", "mod_ids", "mod_sites")
+    text = K.plain(native)
+    return forms.select("peptide", native.alias("native"), K.plain("peptide").alias("bare"), text.alias("unimod"), F.replace(text, F.lit("(UniMod:4)"), F.lit("[+57]")).alias("skyline"))
 
 
 # --- spectra
 
 
-@query("dom07_isolation_scheme")
+def _windows(spark, d, width: float):
+    """Frames of an isolation scheme: 150 windows of four m/z from one to the next."""
+    low = F.pmod("event_id", F.lit(150)) * 4.0 + 300
+    return A.peaks(spark, d).select("frame_num", low.alias("isolation_min_mz"), (low + width).alias("isolation_max_mz"))
+
+
+def _scheme_sql(width: float, low: str, high: str, frames: str, kind: str) -> str:
+    return f"""WITH {A.PEAKS}, g AS (SELECT event_id % 150 AS i, 300 + event_id % 150 * 4.0::double AS lo, 300 + event_id % 150 * 4.0::double + {width} AS hi, list_sort(list(frame_num)) AS f FROM peaks GROUP BY ALL),
+    w AS (SELECT *, lag(hi) OVER o AS b, lead(lo) OVER o AS a, lead(f) OVER o AS nf, row_number() OVER o - 1 AS k, count(*) OVER () AS n FROM g WINDOW o AS (ORDER BY lo))
+    SELECT k::int AS isolation_win_idx, round({low}, 6) AS low, round({high}, 6) AS high, '{kind}' AS kind, array_to_string({frames}, ';') AS frames FROM w"""
+
+
+def _scheme(spark, d, width: float):
+    rows = S.isolation_scheme(_windows(spark, d, width))
+    return rows.select("isolation_win_idx", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "kind", K.list_text("frames").alias("frames"))
+
+
+@query("dom07_isolation_scheme", _scheme_sql(5.0, "lo + coalesce((b - lo) / 2, 0)", "hi - coalesce((hi - a) / 2, 0)", "f", "overlapped"))
+def _(spark, d):
+    return _scheme(spark, d, 5.0)
+
+
+@query("dom07b_staggered_scheme", _scheme_sql(8.0, "coalesce(b, lo)", "hi", "CASE WHEN k > 0 AND k < n - 1 THEN list_sort(list_concat(f, nf)) ELSE f END", "staggered"))
+def _(spark, d):
+    return _scheme(spark, d, 8.0)
+
+
+@query("dom07c_regular_scheme", _scheme_sql(4.0, "lo", "hi", "f", "regular"))
 def _(spark, d):
-    events = A.peaks(spark, d)
-    slot = F.floor(F.pmod("event_id", F.lit(150))) * 4.0 + 300
-    return S.isolation_scheme(events.select("frame_num", slot.alias("isolation_min_mz"), (slot + 5.0).alias("isolation_max_mz"))).select("isolation_win_idx", "low", "high", "kind", F.size("frames").alias("n"))
+    return _scheme(spark, d, 4.0)
 
 
 @query("dom36_chromatogram", f"WITH {A.PEAKS} SELECT run, frame_num, round(sum(ab), 4) AS ab FROM peaks WHERE mz BETWEEN 100.0 - 100.0 * 50000 * 1e-6 AND 100.0 + 100.0 * 50000 * 1e-6 GROUP BY ALL")
@@ -193,9 +228,47 @@ def _(spark, d):
     return S.quick_scores(cells, ["run"], "fragment", "day", "ab", "pred").select("run", "day", F.round("score", 6).alias("score"))
 
 
-@query("dom10_peak_groups")
+@query(
+    "dom09b_quick_matches",
+    f"""WITH {_CELLS}, w AS (SELECT *, 1.0 / (1 + fragment) AS pred FROM cl), n AS (SELECT run, sqrt(sum(pred * pred)) AS norm FROM (SELECT DISTINCT run, fragment, pred FROM w) GROUP BY run),
+    f AS (SELECT run, day, sum(ab * pred) AS dot, sqrt(sum(ab * ab)) AS len, count(*) AS c FROM w GROUP BY ALL),
+    g AS (SELECT *, sum(c) OVER (PARTITION BY run ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM f),
+    h AS (SELECT run, day, CASE WHEN norm * len = 0 THEN 1.0 ELSE dot / (norm * len) END AS similar, near FROM g JOIN n USING (run))
+    SELECT run, day, round(similar + 0.1 * near, 6) AS score FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY run ORDER BY round(similar, 9) DESC, day) = 1) WHERE similar + 0.1 * near > 1.0""",
+)
+def _(spark, d):
+    cells = _cells(spark, d).withColumn("pred", F.lit(1.0) / (1 + F.col("fragment")))
+    return S.quick_matches(S.quick_scores(cells, ["run"], "fragment", "day", "ab", "pred"), ["run"], "day").select("run", "day", F.round("score", 6).alias("score"))
+
+
+@query("dom09c_confident_targets", f"WITH {A.MATCHES}, b AS (SELECT precursor_index, max(score) AS s, arg_max(is_decoy, (score, is_decoy)) AS is_decoy FROM pmsm GROUP BY 1) SELECT precursor_index, s FROM b WHERE NOT is_decoy ORDER BY s DESC, precursor_index LIMIT 1000")
+def _(spark, d):
+    best = A.matches(spark, d).groupBy("precursor_index").agg(F.max(F.struct("score", "is_decoy")).alias("b")).select("precursor_index", "b.*")
+    return S.confident_targets(best, "score", "is_decoy", "precursor_index").select("precursor_index", F.col("score").alias("s"))
+
+
+_PEAK_GROUPS = f"""{_CELLS}, ax AS (SELECT run, fragment, unnest(range(min(day) - 1, max(day) + 2)) AS day FROM cl GROUP BY run, fragment),
+ c AS (SELECT ax.run, ax.fragment, ax.day, coalesce(ab, 0) AS v FROM ax LEFT JOIN cl USING (run, fragment, day)),
+ i1 AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS ch FROM c WINDOW w AS (PARTITION BY run, fragment ORDER BY day)), i2 AS (SELECT *, sum(ch) OVER (PARTITION BY run, fragment ORDER BY day) AS isl FROM i1),
+ i3 AS (SELECT run, fragment, isl, min(day) AS a, max(day) AS b, max(v) AS v FROM i2 GROUP BY ALL), i4 AS (SELECT *, lag(v) OVER w AS vb, lead(v) OVER w AS va FROM i3 WINDOW w AS (PARTITION BY run, fragment ORDER BY isl)),
+ mx AS (SELECT run, CAST(floor((a + b) / 2) AS BIGINT) AS day, count(*) AS n_maxima FROM i4 WHERE v > vb AND v > va GROUP BY ALL),
+ sp AS (SELECT run, day, count(*) AS spec FROM cl GROUP BY ALL), ea AS (SELECT run, day, spec, coalesce(n_maxima, 0) AS n_maxima FROM sp LEFT JOIN mx USING (run, day)),
+ bo AS (SELECT run, min(day) AS d0, max(day) AS d1 FROM cl GROUP BY run),
+ sm AS (SELECT *, 0.25 * CASE WHEN lag(day) OVER w = day - 1 THEN lag(spec) OVER w ELSE 0 END + 0.5 * spec + 0.25 * CASE WHEN lead(day) OVER w = day + 1 THEN lead(spec) OVER w ELSE 0 END AS cells,
+   0.25 * CASE WHEN lag(day) OVER w = day - 1 THEN lag(spec + n_maxima) OVER w ELSE 0 END + 0.5 * (spec + n_maxima) + 0.25 * CASE WHEN lead(day) OVER w = day + 1 THEN lead(spec + n_maxima) OVER w ELSE 0 END AS weight FROM ea WINDOW w AS (PARTITION BY run ORDER BY day)),
+ ca AS (SELECT sm.*, d0, d1, CASE WHEN day - lag(day) OVER (PARTITION BY run ORDER BY day) <= 2 THEN 0 ELSE 1 END AS far FROM sm JOIN bo USING (run) WHERE n_maxima >= 2 AND day BETWEEN d0 + 1 AND d1 - 1),
+ cu AS (SELECT *, sum(far) OVER (PARTITION BY run ORDER BY day) AS cluster FROM ca), ap AS (SELECT * FROM cu QUALIFY row_number() OVER (PARTITION BY run, cluster ORDER BY weight DESC, day) = 1),
+ fo AS (SELECT ap.run, ap.day, ap.n_maxima, ap.cells, sum(sp.spec) AS n_peaks FROM ap JOIN sp ON sp.run = ap.run AND sp.day BETWEEN ap.day - 4 AND ap.day + 4 WHERE ap.day BETWEEN d0 + 4 AND d1 - 4 GROUP BY ALL HAVING sum(sp.spec) >= 4),
+ st AS (SELECT fo.run, fo.day, fragment, k, coalesce(max(CASE WHEN cl.day = fo.day + k THEN ab END), 0.0) AS v FROM fo JOIN cl ON cl.run = fo.run AND cl.day BETWEEN fo.day - 2 AND fo.day + 2, range(-2, 3) t(k) GROUP BY ALL),
+ pr AS (SELECT a.run, a.day, a.fragment AS x, b.fragment AS y, corr(a.v, b.v) AS r FROM st a JOIN st b ON a.run = b.run AND a.day = b.day AND a.k = b.k AND a.fragment < b.fragment GROUP BY ALL),
+ r3 AS (SELECT run, day, avg(CASE WHEN r IS NULL OR isnan(r) THEN 0.0 ELSE r * r * r END) AS r3 FROM pr GROUP BY ALL),
+ me AS (SELECT run, day, n_maxima, n_peaks, round(coalesce(r3, 0.0) + cells, 6) AS merit FROM fo LEFT JOIN r3 USING (run, day))"""
+
+
+@query("dom10_peak_groups", f"WITH {_PEAK_GROUPS} SELECT run, day, n_maxima, CAST(n_peaks AS BIGINT) AS n_peaks, merit FROM me QUALIFY row_number() OVER (PARTITION BY run ORDER BY merit DESC, day) <= 10")
 def _(spark, d):
-    return S.peak_groups(_cells(spark, d), ["run"], "fragment", "day", "ab", least_maxima=2, least_peaks=4)
+    found = S.peak_groups(_cells(spark, d), ["run"], "fragment", "day", "ab", least_maxima=2, least_peaks=4)
+    return found.withColumn("merit", F.round("merit", 6))
 
 
 @query("dom11_matched_spectra", f"WITH {_CELLS}, m AS (SELECT run, day, count(DISTINCT fragment) AS n_matched FROM cl GROUP BY ALL) SELECT run, day, n_matched FROM m WHERE n_matched >= 3 QUALIFY row_number() OVER (PARTITION BY run ORDER BY n_matched DESC, day) <= 10")
@@ -203,15 +276,48 @@ def _(spark, d):
     return S.matched_spectra(_cells(spark, d).withColumn("n", F.lit(8)), ["run"], "day", "fragment", "n").select("run", "day", "n_matched")
 
 
-@query("dom12_tokens")
+_IONS = "io AS (SELECT DISTINCT p_size * CAST(10.0 AS DOUBLE) AS theo_mz, p_size % 5 = 0 AS is_precursor, p_size % 2 = 0 AS is_prefix, p_size % 3 + 1 AS charge, p_size % 3 AS isotope_index, p_size % 7 AS cleavage_index FROM part)"
+
+
+def _ions(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select(
+        (size * F.lit(10.0)).alias("theo_mz"), (size % 5 == 0).alias("is_precursor"), (size % 2 == 0).alias("is_prefix"), (size % 3 + 1).alias("charge"), (size % 3).alias("isotope_index"), (size % 7).alias("cleavage_index"),
+    ).distinct()
+
+
+@query(
+    "dom12_tokens",
+    f"""WITH {A.PEAKS}, {_IONS}, m AS (SELECT run, peaks.*, io.* FROM io JOIN peaks ON mz BETWEEN theo_mz - theo_mz * 5000.0 * 1e-6 AND theo_mz + theo_mz * 5000.0 * 1e-6),
+    t AS (SELECT run, theo_mz, (mz - theo_mz) / theo_mz * (1e6 / 5000.0) AS mz_error, ab / max(ab) OVER (PARTITION BY run, theo_mz, is_precursor) AS ab, is_precursor::int AS is_precursor, CASE WHEN is_precursor THEN 0 ELSE is_prefix::int END AS is_prefix,
+      charge / 5.0 AS charge, isotope_index / 5.0 AS isotope_index, frame_num - 400000 AS time_index, CASE WHEN is_precursor THEN 0 ELSE cleavage_index END AS cleavage_index, CASE WHEN is_precursor THEN 0 ELSE 10 - cleavage_index END AS rev FROM m),
+    k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY run, theo_mz ORDER BY ab DESC, time_index, mz_error) <= 512)
+    SELECT run, theo_mz, count(*) AS n, round(sum(mz_error), 4) AS errors, round(sum(ab), 4) AS ab, round(sum(charge), 4) AS charge, round(sum(isotope_index), 4) AS isotopes, CAST(sum(time_index) AS BIGINT) AS times, CAST(sum(cleavage_index) AS BIGINT) AS places, CAST(sum(rev) AS BIGINT) AS reverse, CAST(sum(is_prefix) AS BIGINT) AS prefixes, CAST(sum(is_precursor) AS BIGINT) AS precursors, CAST(0 AS DOUBLE) AS levels FROM k GROUP BY ALL""",
+)
+def _(spark, d):
+    m = R.ppm_join(_ions(spark, d), A.peaks(spark, d), "theo_mz", "mz", 5000.0)
+    m = m.withColumns({"z_score": F.lit(0.0), "ms_level": F.lit(1), "first_frame": F.lit(400000), "sequence_length": F.lit(12)})
+    each = F.explode("tokens").alias("t")
+    t = S.token_arrays(S.experimental_tokens(m, ["run", "theo_mz"], 5000.0), ["run", "theo_mz"]).select("run", "theo_mz", each)
+    total = lambda c, name, places=4: F.round(F.sum(f"t.{c}"), places).alias(name)
+    count = lambda c, name: F.sum(f"t.{c}").cast("long").alias(name)
+    return t.groupBy("run", "theo_mz").agg(
+        F.count(F.lit(1)).alias("n"), total("mz_error", "errors"), total("ab", "ab"), total("charge", "charge"), total("isotope_index", "isotopes"), count("time_index", "times"), count("cleavage_index", "places"),
+        count("reverse_cleavage_index", "reverse"), count("is_prefix", "prefixes"), count("is_precursor", "precursors"), total("ms_level", "levels"),
+    )
+
+
+@query("dom12b_theoretical_tokens", f"WITH {_IONS} SELECT round(theo_mz / 1000.0, 6) AS mz, round(1.0 / (1 + theo_mz), 6) AS predicted_intensity, is_precursor::int AS is_precursor, CASE WHEN is_precursor THEN 0 ELSE is_prefix::int END AS is_prefix, round(charge / 5.0, 6) AS charge, round(isotope_index / 5.0, 6) AS isotope_index, CASE WHEN is_precursor THEN 0 ELSE cleavage_index END AS cleavage_index, CASE WHEN is_precursor THEN 0 ELSE 10 - cleavage_index END AS reverse_cleavage_index FROM io")
 def _(spark, d):
-    m = R.ppm_join(A.theoretical(spark, d), A.peaks(spark, d), "theo_mz", "mz", 5000.0)
-    return S.tokens(m, ["run", "theo_mz"], 5000.0).select("run", "theo_mz", F.size("tokens").alias("n_tokens"))
+    ions = _ions(spark, d).withColumns({"mz": F.col("theo_mz"), "predicted_intensity": F.round(1.0 / (1 + F.col("theo_mz")), 6), "sequence_length": F.lit(12)})
+    return S.theoretical_tokens(ions, []).withColumns({c: F.round(c, 6) for c in ("mz", "charge", "isotope_index")})
 
 
-@query("dom13_scaled_features", "SELECT p_partkey, round(p_retailprice / 1000.0, 6) AS mz, round(p_size / 5.0, 6) AS charge FROM part")
+@query("dom13_scaled_features", "SELECT p_partkey, round(p_retailprice / 1000.0, 6) AS mz, round(p_size / 5.0, 6) AS charge, round(p_size % 3 / 5.0, 6) AS isotope_index, CAST(p_size % 2 AS DOUBLE) AS ms_level FROM part")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") / 1000.0, 6).alias("mz"), F.round(F.col("p_size") / 5.0, 6).alias("charge"))
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("mz"), size.alias("charge"), (size % 3).alias("isotope_index"), (size % 2 + 1).alias("ms_level"))
+    return S.scaled(rows).withColumns({c: F.round(c, 6) for c in ("mz", "charge", "isotope_index")})
 
 
 # --- false discovery and inference
@@ -229,6 +335,12 @@ def _(spark, d):
     return W.q_values(best, "score", "is_decoy", ["precursor_index"]).select("precursor_index", finite("q_value"))
 
 
+@query("dom15b_wide_q_values", f"WITH {A.MATCHES}, r AS (SELECT *, sum(is_decoy::int) OVER w AS d, sum(1 - is_decoy::int) OVER w AS t FROM pmsm WINDOW w AS (ORDER BY score DESC, pmsm_index ROWS UNBOUNDED PRECEDING)) SELECT pmsm_index, protein, observed_rt, ab, round(min(CASE WHEN t > 0 THEN d * 0.7 * 1.5 / t ELSE 1e9 END) OVER (ORDER BY score DESC, pmsm_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS q_value FROM r")
+def _(spark, d):
+    found = W.q_values(A.matches(spark, d), "score", "is_decoy", ["pmsm_index"], ratio=1.5, pi0=0.7)
+    return found.select("pmsm_index", "protein", "observed_rt", "ab", F.round(F.least("q_value", F.lit(1e9)), 6).alias("q_value"))
+
+
 @query("dom16_peptide_q_values", f"WITH {A.MATCHES} SELECT peptidoform_index, CASE WHEN q < CAST('inf' AS DOUBLE) THEN round(q, 6) END AS q_value FROM {q_sql('pmsm', '', 'peptidoform_index', 2.0)}")
 def _(spark, d):
     m = W.grouped_q_values(A.matches(spark, d), ["peptidoform_index"], "score", "is_decoy", ["peptidoform_index"], ratio=2.0)
@@ -319,42 +431,55 @@ def _(spark, d):
 # --- quantification
 
 
-@query(
-    "dom24_ms1_area",
-    """WITH s AS (SELECT l_orderkey, l_linenumber, sum(l_extendedprice) AS ab, min(l_linenumber * 2.0) AS rt FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY ALL),
-    t AS (SELECT l_orderkey, (ab + lag(ab) OVER w) / 2 * (rt - lag(rt) OVER w) AS part FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY rt)) SELECT l_orderkey, round(coalesce(sum(part), 0.0), 2) AS ms1_area FROM t GROUP BY l_orderkey""",
-)
+@query("dom24_ms1_area", "SELECT l_orderkey, round(2.0 * sum(CASE WHEN l_linenumber IN (2, 6) THEN 0.5 ELSE 1.0 END * CASE WHEN l_linenumber BETWEEN 2 AND 6 THEN l_extendedprice END), 2) AS ms1_area FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
-    points = table(spark, d, "lineitem").withColumn("rt", F.col("l_linenumber") * 2.0)
-    return Q.ms1_area(points, ["l_orderkey"], "l_linenumber", "rt", "l_extendedprice").select("l_orderkey", F.round("ms1_area", 2).alias("ms1_area"))
+    lines = table(spark, d, "lineitem")
+    axis = lines.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("l_linenumber")).withColumn("rt", F.col("l_linenumber") * 2.0)
+    return Q.ms1_area(lines, ["l_orderkey"], "l_linenumber", "l_extendedprice", axis, first=2, last=6).select("l_orderkey", F.round("ms1_area", 2).alias("ms1_area"))
+
+
+@query("dom24b_ms1_area_unit_steps", "SELECT l_suppkey, l_orderkey, round(sum(CASE WHEN l_linenumber IN (1, 7) THEN 0.5 * l_extendedprice WHEN l_linenumber BETWEEN 2 AND 6 THEN l_extendedprice END), 2) AS ms1_area FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    return Q.ms1_area(table(spark, d, "lineitem"), ["l_suppkey", "l_orderkey"], "l_linenumber", "l_extendedprice").withColumn("ms1_area", F.round("ms1_area", 2))
 
 
 def _points(spark, d):
-    """Points of fragment chromatograms: suppliers' nations as fragments, lines as times."""
-    m = A.matches(spark, d).select("run_index", (F.col("precursor_index") % 100).alias("precursor"), (F.col("protein") % 8).alias("fragment"), (F.col("pmsm_index") % 10).alias("time"), "score")
+    """Points of fragment chromatograms: precursors' suppliers as fragments, line numbers as times."""
+    m = A.matches(spark, d).select("run_index", F.col("precursor_index").alias("precursor"), F.col("protein").alias("fragment"), (F.col("pmsm_index") % 10).alias("time"), "score")
     return m.groupBy("run_index", "precursor", "fragment", "time").agg(F.sum("score").alias("ab")).withColumn("rt", F.col("time") * 1.5)
 
 
-_POINTS = f"{A.MATCHES}, pt AS (SELECT run_index, precursor_index % 100 AS precursor, protein % 8 AS fragment, pmsm_index % 10 AS time, sum(score) AS ab FROM pmsm GROUP BY ALL)"
-_FSCORES = f"""{_POINTS}, sc AS (SELECT run_index, precursor, fragment, quantile_cont(ab, 0.95) AS s FROM pt GROUP BY ALL), sv AS (SELECT pt.*, ab / s AS v FROM pt JOIN sc USING (run_index, precursor, fragment)),
- rf AS (SELECT *, avg(v) OVER (PARTITION BY run_index, precursor, time) AS ref FROM sv), fs AS (SELECT run_index, precursor, fragment, CASE WHEN isnan(corr(v, ref)) OR corr(v, ref) IS NULL THEN 0.0 ELSE pow(corr(v, ref), 3) END AS r3, coalesce(sum(CASE WHEN time BETWEEN 2 AND 4 THEN ab END), 0.0) AS intensity FROM rf GROUP BY ALL)"""
+_POINTS = f"{A.MATCHES}, pt AS (SELECT run_index, precursor_index AS precursor, protein AS fragment, pmsm_index % 10 AS time, sum(score) AS ab FROM pmsm GROUP BY ALL)"
+_FSCORES = f"""{_POINTS}, sc AS (SELECT run_index, precursor, fragment, quantile_cont(ab, 0.95) AS s FROM pt GROUP BY ALL), sv AS (SELECT pt.*, CASE WHEN s > 0 THEN ab / s ELSE 0.0 END AS v FROM pt JOIN sc USING (run_index, precursor, fragment)),
+ rf AS (SELECT *, avg(v) OVER (PARTITION BY run_index, precursor, time) AS ref FROM sv),
+ f0 AS (SELECT run_index, precursor, fragment, CASE WHEN isnan(corr(v, ref)) OR corr(v, ref) IS NULL THEN 0.0 ELSE pow(corr(v, ref), 3) END AS r3, coalesce(sum(CASE WHEN time BETWEEN 2 AND 4 THEN ab END), 0.0) AS total FROM rf GROUP BY ALL),
+ md AS (SELECT run_index, precursor, greatest(median(total), 1e-9) AS mid FROM f0 WHERE total > 0 GROUP BY ALL),
+ fs AS (SELECT run_index, precursor, fragment, CASE WHEN total > 0 THEN r3 END AS r3, coalesce(total / mid, 0.0) AS intensity FROM f0 LEFT JOIN md USING (run_index, precursor)),
+ sl AS (SELECT precursor, fragment, round(median(r3), 6) AS merit FROM fs GROUP BY ALL HAVING median(r3) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY precursor ORDER BY round(median(r3), 6) DESC, fragment) <= 6)"""
+
 
+def _selected(spark, d):
+    scores = Q.fragment_scores(_points(spark, d), ["run_index", "precursor"], "fragment", "time", "ab")
+    return Q.select_fragments(scores, ["precursor"], "fragment")
 
-@query("dom25_fragment_scores", f"WITH {_FSCORES} SELECT run_index, precursor, fragment, round(r3, 4) AS r3, round(intensity, 2) AS intensity FROM fs")
+
+@query("dom25_fragment_scores", f"WITH {_FSCORES} SELECT run_index, precursor, fragment, round(r3, 4) AS r3, round(intensity, 4) AS intensity FROM fs")
 def _(spark, d):
-    return Q.fragment_scores(_points(spark, d), ["run_index", "precursor"], "fragment", "time", "ab").select("run_index", "precursor", "fragment", F.round("r3", 4).alias("r3"), F.round("intensity", 2).alias("intensity"))
+    return Q.fragment_scores(_points(spark, d), ["run_index", "precursor"], "fragment", "time", "ab").select("run_index", "precursor", "fragment", F.round("r3", 4).alias("r3"), F.round("intensity", 4).alias("intensity"))
 
 
-@query("dom26_fragment_selection")
+@query("dom26_fragment_selection", f"WITH {_FSCORES} SELECT precursor, fragment, merit FROM sl")
 def _(spark, d):
-    return Q.select_fragments(Q.fragment_scores(_points(spark, d), ["run_index", "precursor"], "fragment", "time", "ab"), ["precursor"], "fragment").withColumn("merit", F.round("merit", 4))
+    return _selected(spark, d).select("precursor", "fragment", "merit")
 
 
-@query("dom27_ms2_area")
+@query(
+    "dom27_ms2_area",
+    f"""WITH {_FSCORES}, tm AS (SELECT run_index, precursor, time, sum(ab * merit) AS s, sum(merit) AS w FROM pt JOIN sl USING (precursor, fragment) GROUP BY ALL), cv AS (SELECT run_index, precursor, time, CASE WHEN w < 1e-9 THEN 0.0 ELSE s / w END AS y FROM tm),
+    tz AS (SELECT run_index, precursor, (y + lag(y) OVER o) / 2 * (time - lag(time) OVER o) * 1.5 AS part FROM cv WINDOW o AS (PARTITION BY run_index, precursor ORDER BY time)) SELECT run_index, precursor, round(coalesce(sum(part), 0.0), 1) AS ms2_area FROM tz GROUP BY ALL""",
+)
 def _(spark, d):
-    points = _points(spark, d)
-    chosen = Q.select_fragments(Q.fragment_scores(points, ["run_index", "precursor"], "fragment", "time", "ab"), ["precursor"], "fragment")
-    return Q.ms2_area(points, chosen, ["run_index", "precursor"], ["precursor"], "fragment", "time", "rt", "ab").withColumn("ms2_area", F.round("ms2_area", 2))
+    return Q.ms2_area(_points(spark, d), _selected(spark, d), ["run_index", "precursor"], ["precursor"], "fragment", "time", "rt", "ab").withColumn("ms2_area", F.round("ms2_area", 1))
 
 
 @query("mth23_log_ratio_pairs", f"WITH {A.ABUNDANCES} SELECT a.protein, a.run AS run_a, b.run AS run_b, round(median(ln(b.abundance) - ln(a.abundance)), 6) AS ratio, count(*) AS n FROM abd a JOIN abd b ON a.protein = b.protein AND a.peptide = b.peptide AND a.run < b.run GROUP BY ALL")

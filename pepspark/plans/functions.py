@@ -112,36 +112,67 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_replace("p_type", "[AEIOU]", "").alias("t"))
 
 
-_PEPTIDES = "pep AS (SELECT doc_id, concat('_', substr(s, 1, 20), '.') AS peptide FROM (SELECT protein_index AS doc_id, sequence AS s FROM prot) WHERE length(s) >= 20)"
+_PEPTIDES = "pep AS (SELECT protein_index AS doc_id, concat('_', sequence, '.') AS peptide FROM prot)"
 
 
 def _peptides(spark, d):
-    return A.proteins(spark, d).where(F.length("sequence") >= 20).select(F.col("protein_index").alias("doc_id"), F.concat(F.lit("_"), F.substring("sequence", 1, 20), F.lit(".")).alias("peptide"))
+    """Every document's whole sequence as one peptide."""
+    return A.proteins(spark, d).select(F.col("protein_index").alias("doc_id"), F.concat(F.lit("_"), "sequence", F.lit(".")).alias("peptide"))
 
 
-@query("str07_decoy_map", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, concat(substr(peptide, 1, 2), translate(substr(peptide, 3, 1), '{C.DECOY_FROM}', '{C.DECOY_TO}'), substr(peptide, 4, length(peptide) - 6), translate(substr(peptide, length(peptide) - 2, 1), '{C.DECOY_FROM}', '{C.DECOY_TO}'), right(peptide, 2)) AS decoy FROM pep")
+@query("str07_decoy_map", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, CASE WHEN length(peptide) < 6 THEN peptide ELSE concat(substr(peptide, 1, 2), translate(substr(peptide, 3, 1), '{C.DECOY_FROM}', '{C.DECOY_TO}'), substr(peptide, 4, length(peptide) - 6), translate(substr(peptide, length(peptide) - 2, 1), '{C.DECOY_FROM}', '{C.DECOY_TO}'), right(peptide, 2)) END AS decoy FROM pep")
 def _(spark, d):
     return _peptides(spark, d).select("doc_id", K.decoy_by_map("peptide").alias("decoy"))
 
 
-@query("str07b_decoy_reverse", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, concat(substr(peptide, 1, 1), reverse(substr(peptide, 2, length(peptide) - 3)), right(peptide, 2)) AS decoy FROM pep")
+@query("str07b_decoy_reverse", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, CASE WHEN length(peptide) < 4 THEN peptide ELSE concat(substr(peptide, 1, 1), reverse(substr(peptide, 2, length(peptide) - 3)), right(peptide, 2)) END AS decoy FROM pep")
 def _(spark, d):
     return _peptides(spark, d).select("doc_id", K.decoy_reversed("peptide").alias("decoy"))
 
 
-@query("str08_modified_sequence", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, concat(substr(peptide, 1, 4), '(UniMod:4)', substr(peptide, 5, 17), '.(UniMod:35)') AS text FROM pep")
-def _(spark, d):
+_MODIFIED = "CASE WHEN length(peptide) < 4 THEN peptide ELSE concat(substr(peptide, 1, 4), '(UniMod:4)', substr(peptide, 5)) END || '(UniMod:35)'"
+
+
+def _modified(spark, d):
     ids = F.array(F.lit(4 << 16).cast("bigint"), F.lit(35 << 16).cast("bigint"))
     return _peptides(spark, d).select("doc_id", K.modified_sequence("peptide", ids, F.array(F.lit(3), F.lit(-1))).alias("text"))
 
 
-@query("str09_parse_modified", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, peptide AS bare, '3;21' AS sites, '4;35' AS unimod FROM pep")
+@query("str08_modified_sequence", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, {_MODIFIED} AS text FROM pep")
 def _(spark, d):
-    text = F.concat(F.substring("peptide", 1, 4), F.lit("(UniMod:4)"), F.substring("peptide", 5, 17), F.lit(".(UniMod:35)"))
-    p = _peptides(spark, d).select("doc_id", K.parsed_sequence(text).alias("p"))
+    return _modified(spark, d)
+
+
+@query("str09_parse_modified", f"WITH {A.PROTEINS}, {_PEPTIDES} SELECT doc_id, peptide AS bare, CASE WHEN length(peptide) < 4 THEN '' ELSE '3;' END || (length(peptide) - 1) AS sites, CASE WHEN length(peptide) < 4 THEN '35' ELSE '4;35' END AS unimod FROM pep")
+def _(spark, d):
+    p = _modified(spark, d).select("doc_id", K.parsed_sequence("text").alias("p"))
     return p.select("doc_id", F.col("p.plain").alias("bare"), K.list_text("p.sites").alias("sites"), K.list_text("p.unimod").alias("unimod"))
 
 
+@query(
+    "str10_parse_dialects",
+    f"""WITH {A.PROTEINS}, {_PEPTIDES}, s AS (SELECT doc_id, peptide, list_filter(range(1, length(peptide) - 1), lambda i: peptide[i + 1] IN ('C', 'M')) AS places FROM pep WHERE length(peptide) > 2)
+    SELECT doc_id, k::int AS dialect, peptide AS bare, array_to_string(places, ';') AS sites, array_to_string(list_transform(places, lambda i: CASE WHEN peptide[i + 1] = 'C' THEN 4 ELSE 35 END), ';') AS unimod FROM s, range(0, 5) t(k)""",
+)
+def _(spark, d):
+    p = _peptides(spark, d).where("length(peptide) > 2")
+    bare = K.plain("peptide")
+
+    def marked(c: str, m: str):
+        return F.replace(F.replace(bare, F.lit("C"), F.lit(f"C{c}")), F.lit("M"), F.lit(f"M{m}"))
+
+    texts = [
+        F.concat(F.lit("_"), marked("(#:4)", "(#:35)"), F.lit(".")), F.concat(F.lit("_"), marked("[#57.021]", "[#16]"), F.lit("_")), F.concat(F.lit("-."), marked("[#a (#)]", "[#o (#)]"), F.lit(".-")),
+        marked("(#a)", "(#o)"), marked("[#57]", "[#15.9949]"),
+    ]
+    # placeholders, since the names hold letters that are residues as well
+    names = [("#:", "UniMod:"), ("[#a (#)]", "[Carbamidomethyl (C)]"), ("[#o (#)]", "[Oxidation (M)]"), ("(#a)", "(Carbamidomethyl)"), ("(#o)", "(Oxidation)"), ("[#", "[+")]
+    for x, y in names:
+        texts = [F.replace(t, F.lit(x), F.lit(y)) for t in texts]
+    rows = p.select("doc_id", F.posexplode(F.array(*texts)).alias("dialect", "text")).select("doc_id", "dialect", K.parsed_dialect("text").alias("p"))
+    return rows.select("doc_id", "dialect", F.col("p.plain").alias("bare"), K.list_text("p.sites").alias("sites"), K.list_text("p.unimod").alias("unimod"))
+
+
 @query("str11_composition", "SELECT p_partkey, p_size AS c, p_size + 2 AS h, 1 AS n FROM part")
 def _(spark, d):
     text = F.concat(F.lit("C("), "p_size", F.lit(") H"), (F.col("p_size") + 2).cast("string"), F.lit(" N"))
@@ -178,14 +209,44 @@ def _(spark, d):
     return A.proteins(spark, d).select("protein_index", F.round(K.residue_mass_sum("sequence"), 4).alias("mass"))
 
 
+_NOMINAL_SUM = " + ".join(f"(length(s) - length(replace(s, '{r}', ''))) * {m}" for r, m in C.NOMINAL_RESIDUE_MASSES.items())
+
+
+@query("mth02b_nominal_mass", f"WITH {A.PROTEINS} SELECT protein_index, CAST({_NOMINAL_SUM} AS BIGINT) AS mass FROM (SELECT protein_index, sequence AS s FROM prot)")
+def _(spark, d):
+    return A.proteins(spark, d).select("protein_index", K.nominal_mass_sum("sequence").cast("long").alias("mass"))
+
+
 @query(
     "mth03_prefix_masses",
     f"""WITH {A.PROTEINS}, {_PEPTIDES}, m(r, mass) AS (VALUES {", ".join(f"('{r}', CAST({m!r} AS DOUBLE))" for r, m in C.RESIDUE_MASSES.items())}),
-    e AS (SELECT doc_id, i, mass FROM (SELECT doc_id, i::int AS i, peptide[i + 2] AS r FROM pep, range(0, 20) t(i)) JOIN m USING (r))
-    SELECT doc_id, i, round(sum(mass) OVER (PARTITION BY doc_id ORDER BY i), 6) AS prefix FROM e""",
+    e AS (SELECT doc_id, i, mass FROM (SELECT doc_id, i, peptide[i + 2] AS r FROM (SELECT doc_id, peptide, unnest(range(0, length(peptide) - 2)) AS i FROM pep)) JOIN m USING (r)),
+    f AS (SELECT doc_id, i, sum(mass) OVER (PARTITION BY doc_id ORDER BY i) AS prefix FROM e)
+    SELECT doc_id, count(*) AS n, round(min(prefix), 4) AS first, round(max(prefix), 3) AS last, round(avg(prefix), 2) AS mean FROM f GROUP BY doc_id""",
+)
+def _(spark, d):
+    return _summed(_peptides(spark, d).select("doc_id", F.posexplode(K.prefix_masses(K.plain("peptide"))).alias("i", "prefix")))
+
+
+def _summed(rows):
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("prefix"), 4).alias("first"), F.round(F.max("prefix"), 3).alias("last"), F.round(F.avg("prefix"), 2).alias("mean"))
+
+
+_SHIFT = C.composition_mass(C.MODIFICATIONS["Carbamidomethyl"][1])
+
+
+@query(
+    "mth03b_modified_prefix_masses",
+    f"""WITH {A.PROTEINS}, {_PEPTIDES}, m(r, mass) AS (VALUES {", ".join(f"('{r}', CAST({m!r} AS DOUBLE))" for r, m in C.RESIDUE_MASSES.items())}),
+    e AS (SELECT doc_id, i, mass + CASE WHEN i = 0 THEN 42.0 ELSE 0.0 END + CASE WHEN i = 2 THEN CAST({_SHIFT!r} AS DOUBLE) ELSE 0.0 END + CASE WHEN i = n - 1 THEN 7.5 ELSE 0.0 END AS mass
+      FROM (SELECT doc_id, i, n, peptide[i + 2] AS r FROM (SELECT doc_id, peptide, length(peptide) - 2 AS n, unnest(range(0, length(peptide) - 2)) AS i FROM pep WHERE length(peptide) >= 5)) JOIN m USING (r)),
+    f AS (SELECT doc_id, i, sum(mass) OVER (PARTITION BY doc_id ORDER BY i) AS prefix FROM e)
+    SELECT doc_id, count(*) AS n, round(min(prefix), 4) AS first, round(max(prefix), 3) AS last, round(avg(prefix), 2) AS mean FROM f GROUP BY doc_id""",
 )
 def _(spark, d):
-    return _peptides(spark, d).select("doc_id", F.posexplode(K.prefix_masses(K.plain("peptide"))).alias("i", "prefix")).withColumn("prefix", F.round("prefix", 6))
+    p = _peptides(spark, d).where("length(peptide) >= 5")
+    sites, masses = F.array(F.lit(0), F.lit(3), F.lit(-1)), F.array(F.lit(42.0), F.lit(_SHIFT), F.lit(7.5))
+    return _summed(p.select("doc_id", F.posexplode(K.prefix_masses(K.plain("peptide"), sites, masses)).alias("i", "prefix")))
 
 
 @query("mth05_fragment_mz", "SELECT p_partkey, round((p_retailprice + 18.010564683) / 2 + 1.0072764667710, 6) AS mz FROM part")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pepspark.operators import relational as R
+from pepspark.operators import sampling as P
 from pepspark.operators import spectra as S
 from pepspark.operators import windows as W
 from pepspark.plans import analogs as A
@@ -42,6 +45,11 @@ def _(spark, d):
     return R.dense_id(table(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "id").select("o_orderkey", F.col("id").cast("long").alias("id"))
 
 
+@query("prj05b_wide_dense_id", "SELECT o_orderkey, o_orderpriority, o_totalprice, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS id FROM orders")
+def _(spark, d):
+    return R.dense_id(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], "id").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey", "id")
+
+
 @query("prj06_when_chain", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS band, CASE WHEN l_tax > 0.04 THEN l_tax END AS tax FROM lineitem")
 def _(spark, d):
     band = W.when_column([(F.col("l_quantity") < 10, "low"), (F.col("l_quantity") < 30, "mid")], "high")
@@ -101,6 +109,13 @@ def _(spark, d):
     return m.join(best, ["run_index", "precursor_index"], "left").select("pmsm_index", "best")
 
 
+@query("jn04_composite_inner_join", f"WITH {A.MATCHES}, c AS (SELECT run_index, precursor_index, count(*) AS n FROM pmsm GROUP BY ALL HAVING count(*) > 2) SELECT pmsm_index, n FROM pmsm JOIN c USING (run_index, precursor_index)")
+def _(spark, d):
+    m = A.matches(spark, d)
+    many = m.groupBy("run_index", "precursor_index").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    return m.join(many, ["run_index", "precursor_index"]).select("pmsm_index", "n")
+
+
 @query("jn05_semi_join", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi").select("doc_id", "n_chars")
@@ -148,6 +163,12 @@ def _(spark, d):
     return S.in_windows(A.peaks(spark, d).withColumn("z", F.lit(2)), windows, "mz", "low", "high", "z", width=25.0).select("window_id", "event_id")
 
 
+@query("jn10b_strict_windows", f"WITH {A.PEAKS}, {_WINDOWS} SELECT window_id, event_id FROM w JOIN peaks ON mz > low - 3.5 / 2 AND mz < high + 1.25 / 2")
+def _(spark, d):
+    windows = spark.range(10).select(F.col("id").alias("window_id"), (F.col("id") * 50.0).alias("low"), (F.col("id") * 50.0 + 52.0).alias("high"))
+    return S.in_windows(A.peaks(spark, d).withColumn("z", F.lit(2)), windows, "mz", "low", "high", "z", width=25.0, strict=True).select("window_id", "event_id")
+
+
 @query(
     "jn11_nearest_frame",
     f"""WITH {A.PEAKS}, a AS (SELECT * FROM peaks WHERE run <> 'view'), b AS (SELECT min(event_id) AS event_id, time FROM peaks WHERE run = 'view' GROUP BY time),
@@ -161,6 +182,29 @@ def _(spark, d):
     return R.nearest_join(peaks.where("run <> 'view'").select("event_id", "time"), first, "time", "right_time", "right_id").select("event_id", "nearest")
 
 
+_BINS = """ce AS (SELECT event_id AS centre_id, time AS centre FROM peaks WHERE run = 'purchase'), fr AS (SELECT min(event_id) AS frame, time FROM peaks WHERE run = 'view' GROUP BY time),
+  bn AS (SELECT centre_id, b::int AS bin, centre + b * 900.0 AS mid FROM ce, range(-4, 5) t(b)),
+  asg AS (SELECT centre_id, bin, frame FROM bn JOIN fr ON time BETWEEN mid - 450.0 AND mid + 450.0 QUALIFY row_number() OVER (PARTITION BY centre_id, bin ORDER BY abs(time - mid), frame) = 1)"""
+
+
+def _binned(spark, d):
+    p = A.peaks(spark, d)
+    centres = p.where("run = 'purchase'").select(F.col("event_id").alias("centre_id"), F.col("time").alias("centre"))
+    frames = p.where("run = 'view'").groupBy("time").agg(F.min("event_id").alias("frame"))
+    return S.time_bins(centres, frames, [], "centre", "time", "frame", 900.0)
+
+
+@query("jn12_time_bins", f"WITH {A.PEAKS}, {_BINS} SELECT centre_id, bin, frame FROM asg")
+def _(spark, d):
+    return _binned(spark, d).select("centre_id", "bin", "frame")
+
+
+@query("jn13_time_steps", f"WITH {A.PEAKS}, {_BINS} SELECT event_id, centre_id, bin FROM peaks JOIN asg ON event_id = frame")
+def _(spark, d):
+    peaks = A.peaks(spark, d).select("event_id", F.col("event_id").alias("frame"))
+    return S.time_steps(peaks, _binned(spark, d).select("frame", "centre_id", "bin"), ["frame"]).select("event_id", "centre_id", "bin")
+
+
 @query("jn15_charge_states", "SELECT p_partkey, z::int AS z, round(p_retailprice / z + 1.0072764667710, 6) AS mz FROM part, range(1, 5) t(z)")
 def _(spark, d):
     from pepspark.functions.columns import precursor_mz
@@ -170,7 +214,9 @@ def _(spark, d):
 
 @query("jn17_bin_lookup", f"WITH {A.PEAKS} SELECT event_id, CAST(ceil(ln(mz / 0.001) / ln(1 + 0.05)) AS BIGINT) AS bin FROM peaks")
 def _(spark, d):
-    return A.peaks(spark, d).select("event_id", F.ceil(F.log(F.col("mz") / 0.001) / F.log(F.lit(1 + 0.05))).cast("long").alias("bin"))
+    from pepspark.functions.columns import ppm_bin
+
+    return A.peaks(spark, d).select("event_id", ppm_bin("mz", 50_000.0, 0.001).cast("long").alias("bin"))
 
 
 # --- aggregates
@@ -188,16 +234,21 @@ def _(spark, d):
     return R.best_row(m.join(mid, "precursor_index"), ["precursor_index"], F.abs(F.col("observed_rt") - F.col("mid")), ["pmsm_index"], ascending=True).select("precursor_index", "pmsm_index")
 
 
+@query("agg03_keep_last", f"WITH {A.MATCHES} SELECT precursor_index, pmsm_index, observed_rt FROM pmsm QUALIFY row_number() OVER (PARTITION BY precursor_index ORDER BY score DESC, pmsm_index DESC) = 1")
+def _(spark, d):
+    return R.best_row(A.matches(spark, d), ["precursor_index"], "score", [-F.col("pmsm_index")]).select("precursor_index", "pmsm_index", "observed_rt")
+
+
 @query("agg04_keep_first", "SELECT c_nationkey, c_custkey, c_name FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1")
 def _(spark, d):
     return R.keep_one(table(spark, d, "customer"), ["c_nationkey"], F.desc("c_acctbal"), F.asc("c_custkey")).select("c_nationkey", "c_custkey", "c_name")
 
 
-@query("agg05_ordered_list", "SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ';') AS suppliers FROM lineitem GROUP BY l_partkey")
+@query("agg05_ordered_list", "SELECT l_partkey, array_to_string(list_sort(list(l_suppkey)), ';') AS suppliers FROM lineitem GROUP BY l_partkey")
 def _(spark, d):
     from pepspark.functions.columns import list_text
 
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(list_text(F.array_sort(F.collect_set("l_suppkey"))).alias("suppliers"))
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(list_text(F.array_sort(F.collect_list("l_suppkey"))).alias("suppliers"))
 
 
 @query("agg06_min_max_count", f"WITH {A.PEAKS} SELECT run, min(mz) AS low, max(mz) AS high, count(*) AS n, round(sum(ab), 4) AS total FROM peaks GROUP BY run")
@@ -222,6 +273,12 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"))
 
 
+@query("agg11b_distinct_with_null", "WITH t AS (SELECT l_suppkey, CASE WHEN l_quantity > 10 THEN l_partkey END AS x FROM lineitem) SELECT l_suppkey, count(DISTINCT x) + max(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS n FROM t GROUP BY l_suppkey")
+def _(spark, d):
+    values = table(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("x"))
+    return values.groupBy("l_suppkey").agg(R.distinct_with_null("x").alias("n"))
+
+
 @query("agg13_all_true", "SELECT l_orderkey, bool_and(l_quantity > 5) AS every FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") > 5).alias("every"))
@@ -256,6 +313,14 @@ def _(spark, d):
     return A.matches(spark, d).groupBy("precursor_index").agg(F.round(F.sum(F.col("observed_rt") * F.col("score")) / F.sum("score"), 4).alias("mean"))
 
 
+@query(
+    "agg19b_weighted_median",
+    f"WITH {A.MATCHES}, s AS (SELECT precursor_index, observed_rt, sum(ab) AS w FROM pmsm GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY precursor_index ORDER BY observed_rt) AS c, sum(w) OVER (PARTITION BY precursor_index) / 2 AS half FROM s) SELECT precursor_index, min(observed_rt) FILTER (c >= half) AS mid FROM c GROUP BY precursor_index",
+)
+def _(spark, d):
+    return W.weighted_median(A.matches(spark, d), ["precursor_index"], "observed_rt", "ab", "mid")
+
+
 @query("agg20_filtered_median", "SELECT l_orderkey, coalesce(median(CASE WHEN l_linenumber BETWEEN 3 AND 5 AND l_quantity > 0 THEN l_quantity END), 0.0) AS apex_median_intensity FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
     from pepspark.operators.quantify import apex_median
@@ -268,6 +333,19 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n")).where("n >= 10")
 
 
+@query(
+    "agg22_training_statistics",
+    """WITH t AS (SELECT l_linenumber AS len, CAST(l_tax * 100 AS INT) AS charge, l_discount AS energy FROM lineitem)
+    SELECT 'total' AS kind, CAST(NULL AS DOUBLE) AS value, count(*) AS n FROM t UNION ALL SELECT 'len', len::double, count(*) FROM t GROUP BY len
+    UNION ALL SELECT 'charge', charge::double, count(*) FROM t GROUP BY charge UNION ALL SELECT 'energy', energy::double, count(*) FROM t GROUP BY energy""",
+)
+def _(spark, d):
+    from pepspark.sources.sinks import training_statistics
+
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("len"), F.round(F.col("l_tax") * 100).cast("int").alias("charge"), F.col("l_discount").alias("energy"))
+    return training_statistics(rows, "len", "charge", "energy")
+
+
 # --- windows
 
 
@@ -350,9 +428,36 @@ def _(spark, d):
     return W.gap_clusters(u, ["run"], "frame_num", 1).groupBy("run", "cluster").agg(F.median("frame_num").alias("mid"), F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+@query("win16_clipped_positions", "SELECT DISTINCT l_suppkey, greatest(10, least(40, l_quantity)) AS l_quantity FROM lineitem")
+def _(spark, d):
+    return W.clip_positions(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", 10, 40)
+
+
+@query(
+    "win17_monotone_bases",
+    f"""WITH {_AXIS}, ap AS (SELECT run, frame_num AS apex FROM c QUALIFY row_number() OVER (PARTITION BY run ORDER BY v DESC, frame_num) = 1),
+    n AS (SELECT c.run, apex, frame_num AS f, v, lead(v) OVER w AS after, lag(v) OVER w AS before FROM c JOIN ap USING (run) WINDOW w AS (PARTITION BY c.run ORDER BY frame_num))
+    SELECT run, apex, coalesce(max(CASE WHEN f < apex AND v > after THEN f + 1 END), min(f)) AS left, coalesce(min(CASE WHEN f > apex AND v > before THEN f - 1 END), max(f)) AS right FROM n GROUP BY run, apex""",
+)
+def _(spark, d):
+    cells = _cells(spark, d)
+    apex = R.best_row(cells, ["run"], "v", ["frame_num"]).select("run", F.col("frame_num").alias("apex"))
+    return W.monotone_bases(cells.join(apex, "run"), ["run"], "frame_num", "v", "apex")
+
+
+@query("mth26_signal_to_noise", f"WITH {A.MATCHES}, r AS (SELECT precursor_index, score, row_number() OVER (PARTITION BY precursor_index ORDER BY score) AS r, count(*) OVER (PARTITION BY precursor_index) AS n FROM pmsm) SELECT precursor_index, round(max(score) / (avg(score) FILTER (r <= floor(n * 0.2)) + 1e-9), 6) AS snr FROM r GROUP BY precursor_index")
+def _(spark, d):
+    return W.signal_to_noise(A.matches(spark, d), ["precursor_index"], "score").select("precursor_index", F.round("snr", 6).alias("snr"))
+
+
 # --- sorts, limits and samples
 
 
+@query("srt02_flag_order", f"WITH {A.MATCHES} SELECT pmsm_index, row_number() OVER (ORDER BY NOT is_decoy, score DESC, pmsm_index) - 1 AS place FROM pmsm")
+def _(spark, d):
+    return R.dense_id(A.matches(spark, d).withColumn("_target", ~F.col("is_decoy")), ["_target", F.col("score").desc(), "pmsm_index"], "place").select("pmsm_index", "place")
+
+
 @query("srt03_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
 def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000)
@@ -373,17 +478,31 @@ def _(spark, d):
     return R.batches(table(spark, d, "lineitem"), ["l_suppkey"], 512, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "batch")
 
 
-@query("smp01_split_decoys")
+def _md5(seed: int, ident: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {ident})), 1, 8) AS BIGINT)"
+
+
+@query("smp01_split_decoys", f"WITH {A.MATCHES}, t AS (SELECT pmsm_index, is_decoy, {_md5(928, 'peptidoform_index')} % 100 < 50 AS a FROM pmsm) SELECT pmsm_index, 'train' AS part FROM t WHERE NOT is_decoy OR a UNION ALL SELECT pmsm_index, 'test' FROM t WHERE NOT is_decoy OR NOT a")
 def _(spark, d):
-    from pepspark.operators.scoring import split_decoys
+    train, test = P.split_decoys(A.matches(spark, d), "peptidoform_index", "is_decoy")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).select("pmsm_index", "part")
 
-    train, test = split_decoys(A.matches(spark, d), "peptidoform_index", "is_decoy")
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part", "is_decoy").agg(F.count(F.lit(1)).alias("n"))
+
+@query("smp02_hash_sample", f"SELECT p_partkey FROM part ORDER BY {_md5(928, 'p_partkey')}, p_partkey LIMIT 100")
+def _(spark, d):
+    return P.down_sample(table(spark, d, "part"), "p_partkey", 100, seed=928).select("p_partkey")
+
+
+@query("smp03_epoch_samples", " UNION ALL ".join(f"SELECT {e} AS epoch, o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY {_md5(e, 'o_orderkey')}, o_orderkey LIMIT 500)" for e in range(3)))
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey")
+    return reduce(lambda a, b: a.unionByName(b), (P.down_sample(orders, "o_orderkey", 500, e).select(F.lit(e).alias("epoch"), "o_orderkey") for e in range(3)))
 
 
-@query("smp02_hash_sample")
+@query("smp04_seeded_until_enough", f"WITH t AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), u AS (SELECT l_orderkey, n, sum(n) OVER (ORDER BY {_md5(1226, 'l_orderkey')}, l_orderkey ROWS UNBOUNDED PRECEDING) - n AS before FROM t) SELECT l_orderkey, n FROM u WHERE before <= 5000")
 def _(spark, d):
-    return table(spark, d, "part").orderBy(F.xxhash64("p_partkey", F.lit(928)), "p_partkey").limit(100).select("p_partkey")
+    sizes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return P.until_enough(sizes, "l_orderkey", "n", 5000)
 
 
 # --- sets

@@ -30,13 +30,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta_records(lines.select(F.regexp_replace("value", "^>", "").alias("value")))
 
 
-def decode_binary(text: str | None, bits: int, compressed: bool) -> list[float]:
+def decode_binary(text: str | None, bits: int, compressed: bool) -> np.ndarray:
     """Base64 (and zlib) coded little-endian floats; nothing if they can't be read."""
     try:
         data = base64.b64decode(text or "")
-        return np.frombuffer(zlib.decompress(data) if compressed else data, "<f4" if bits == 32 else "<f8").astype(float).tolist()
+        return np.frombuffer(zlib.decompress(data) if compressed else data, "<f4" if bits == 32 else "<f8").astype(float)
     except (ValueError, zlib.error):
-        return []
+        return np.empty(0)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

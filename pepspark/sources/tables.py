@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 from pepspark.functions import constants as C
 
-#: Share of the heavy isotope of each element that has one (carbon, nitrogen, sulphur-33), and the average residue
-#: (Senko 1995) of 111.1254 Da: C4.9384 H7.7583 N1.3577 O1.4773 S0.0417.
-HEAVY = {"C": 0.0107, "N": 0.00364, "S": 0.0075}
-AVERAGE_RESIDUE = {"C": 4.9384, "N": 1.3577, "S": 0.0417}
+#: Shares of the isotopes of each element by added neutrons, and the average residue (Senko 1995) of 111.1254 Da.
+ISOTOPES = {"C": [0.9893, 0.0107], "H": [0.999885, 0.000115], "N": [0.99636, 0.00364], "O": [0.99757, 0.00038, 0.00205], "S": [0.9499, 0.0075, 0.0425, 0.0, 0.0001]}
+AVERAGE_RESIDUE = {"C": 4.9384, "H": 7.7583, "N": 1.3577, "O": 1.4773, "S": 0.0417}
 AVERAGE_MASS = 111.1254
 
 
+def envelope(counts: dict[str, int], size: int = 16) -> np.ndarray:
+    """Shares of the isotope peaks of a composition: the product of its atoms' isotope polynomials."""
+    out = np.ones(1)
+    for element, n in counts.items():
+        power = np.array(ISOTOPES[element])
+        while n:
+            if n & 1:
+                out = np.convolve(out, power)[:size]
+            power, n = np.convolve(power, power)[:size], n >> 1
+    return np.pad(out, (0, size - len(out)))
+
+
 def modifications(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, name, C.composition_mass(parts)) for name, (n, parts) in C.MODIFICATIONS.items()], "unimod_id int, name string, mass double")
 
@@ -30,14 +39,12 @@ def ion_types(spark: SparkSession, max_charge: int = 2) -> DataFrame:
 
 
 def isotope_patterns(spark: SparkSession, low: int = 300, high: int = 7000, step: int = 100, isotopes: int = 3) -> DataFrame:
-    """``mass, isotope_index, offset_mass, predicted_intensity, rank`` by nominal mass, intensities scaled to 1.
-
-    The pattern is Poisson in the expected number of heavy isotopes of an average peptide of that mass.
-    """
-    rate = sum(AVERAGE_RESIDUE[e] * p for e, p in HEAVY.items()) / AVERAGE_MASS
-    base = spark.range(low, high + 1, step).select(F.col("id").cast("int").alias("mass")).withColumn("isotope_index", F.explode(F.sequence(F.lit(0), F.lit(isotopes - 1))))
-    x = F.col("mass") * F.lit(rate)
-    factorial = F.element_at(F.array(*[F.lit(float(math.factorial(k))) for k in range(isotopes)]), F.col("isotope_index") + 1)
-    raw = base.withColumn("_p", F.exp(-x) * F.pow(x, F.col("isotope_index")) / factorial)
-    w = Window.partitionBy("mass")
-    return raw.select("mass", "isotope_index", (F.col("isotope_index") * F.lit(C.C13_C12_DIFFERENCE)).alias("offset_mass"), (F.col("_p") / F.max("_p").over(w)).alias("predicted_intensity"), F.row_number().over(w.orderBy(F.desc("_p"), "isotope_index")).alias("rank"))
+    """``mass, isotope_index, offset_mass, predicted_intensity, rank`` by nominal mass: the envelope of an average peptide of that
+    mass.  Intensities are scaled to the greatest kept one, ranks are of the whole envelope.  The table is fixed and small."""
+    rows = []
+    for mass in range(low, high + 1, step):
+        shares = envelope({e: round(n * mass / AVERAGE_MASS) for e, n in AVERAGE_RESIDUE.items()})
+        rank = np.argsort(np.argsort(-shares, kind="stable"), kind="stable") + 1
+        kept = shares[:isotopes]
+        rows += [(mass, i, i * C.C13_C12_DIFFERENCE, float(kept[i] / kept.max()), int(rank[i])) for i in range(isotopes)]
+    return spark.createDataFrame(rows, "mass int, isotope_index int, offset_mass double, predicted_intensity double, rank int")

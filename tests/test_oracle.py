@@ -41,6 +41,6 @@ def test_same_rows(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, FOLDER).count() >= 0
+def test_others_have_tests():
+    """Queries without SQL are held against NumPy or plain loops in test_numeric."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"src14_isotope_patterns", "dom14_match_clusters", "dom19_protein_inference", "dom20_logistic_scorer", "dom21b_calibration_bounds", "dom22_alignment", "dom28_max_lfq"}
