@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pepspark.storage import drop_staged, free_shuffles, shared_dir, staged  # noqa: F401  for the operators
+
 #: ASCII white space, as ``bytes.split()`` without arguments sees it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,42 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/pepspark-shared")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage, outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pepspark-{uuid.uuid4().hex}/{name}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where.getParent())
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Deletes a staged table and lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-    free_shuffles(df.sparkSession)
+def by_row(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``doc, text`` with a key that no other row has, and ``doc, id`` if that key isn't the id.
 
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark's cleaner removes the shuffle files of a plan once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Ids that are unique serve as they are.  Where one repeats or is null, rows are numbered in a staged table, so that
+    every row is a document of its own.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty():
+        return rows.withColumnRenamed("id", "doc"), None
+    kept = staged(rows.select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "rows")
+    return kept.select("doc", "text"), kept.select("doc", "id")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -69,27 +43,47 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
+#: Texts are long rows: no more of them go to Python at once, unless the session names fewer.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of a bounded number of rows."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow over ``rows(batch)``, which yields the batches made from one input batch."""
+    """``map_batches`` over ``rows(batch)``, which yields the batches made from one input batch."""
 
     def run(batches):
         for batch in batches:
             yield from rows(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+class WordHashes(dict):
+    """64-bit hashes by word; frequent words are hashed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+KNOWN_WORDS = 200_000
 
 
-def hash_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of the words.  ``known`` spares hashing frequent words again."""
-    if len(known) > 500_000:
+def hash_words(words: list[bytes], known: WordHashes) -> np.ndarray:
+    if len(known) > KNOWN_WORDS:
         known.clear()
-    digest, out = xxhash.xxh3_64_intdigest, []
-    for word in words:
-        value = known.get(word)
-        if value is None:
-            value = known[word] = digest(word)
-        out.append(value)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +100,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 def word_chunks(batch: pa.RecordBatch, lower: bool = False, size: int = 100_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Texts (second column, bytes) of a batch as (row numbers, word hashes one text after another, lengths), in
     chunks of about ``size`` words, so that memory follows the chunk and one text, not the batch."""
-    known: dict[bytes, int] = {}
+    known = WordHashes()
     rows, hashes, count = [], [], 0
     for row, data in enumerate(batch.column(1)):
         data = data.as_py() or b""

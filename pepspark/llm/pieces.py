@@ -10,21 +10,29 @@ broadcast besides the fixed piece table) are encoded by the relational form and
 they stand, since joining every unit of every text with its encoding would shuffle the corpus several times over.  Texts
 themselves are never shuffled.  Characters that no piece has become byte pieces.
 
-Null and empty texts have no pieces.  Every row is encoded by itself.
+Null and empty texts have no pieces; null stays null.  Every row is encoded by itself, so ids may repeat or be null.  Texts
+of any length are folded unit by unit, a unit of any length by a heap; of pieces with equal scores the leftmost merges
+first.  ``encode`` reads no columns but the id and the text; ``decode`` keeps all columns of its table and replaces one
+that is called ``decoded``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import re
 from array import array
 from collections import Counter
+from functools import cached_property
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pepspark.llm.common import map_arrow, staged, table, text_bytes
+from pepspark.llm.common import map_arrow, map_batches, staged, table, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -35,9 +43,21 @@ LONG_UNIT = 48
 RELATIONAL_LENGTH = 24
 LATTICE_TASKS = 48
 CHUNK_CHARS = 2_000_000
+SIDE_BY_SIDE = 4_096
+GONE = -(1 << 40)
 DECODED_PIECES = 300_000
 
 
+NO_PIECE = float("-inf")
+
+
+class Scores(dict):
+    """Scores by piece; what is no piece has the least."""
+
+    def __missing__(self, piece: str) -> float:
+        return NO_PIECE
+
+
 class Pieces:
     """The pieces of a SentencePiece model; ``kind`` is "bpe" or "unigram"."""
 
@@ -60,6 +80,7 @@ class Pieces:
                 self.normal[name] = (model.get_score(i), i)
                 stored.append(name.replace(MARK, " ").encode())
         self.longest = max(map(len, self.normal))
+        self.scores = Scores((name, score) for name, (score, _) in self.normal.items())
         if any(MARK in name.lstrip(MARK) for name in self.normal):
             raise ValueError("pieces that cross white space aren't supported")
         self.lengths = np.array([len(x) for x in stored])
@@ -82,21 +103,21 @@ class Pieces:
         return self.ids(self._merge_long(unit) if len(unit) > LONG_UNIT else self._merge(unit))
 
     def _merge(self, unit: str) -> list[str]:
-        parts, get = list(unit), self.normal.get
-        scores = [s[0] if (s := get(a + b)) else None for a, b in zip(parts, parts[1:])]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(scores):
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del scores[at]
+        parts, score = list(unit), self.scores.__getitem__
+        open_ = list(map(score, map(add, parts, parts[1:])))  # of each two neighbours
+        while open_:
+            best = max(open_)
+            if best == NO_PIECE:
+                break
+            at = open_.index(best)
+            both = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [both]
+            del open_[at]
             if at:
-                scores[at - 1] = s[0] if (s := get(parts[at - 1] + parts[at])) else None
-            if at < len(scores):
-                scores[at] = s[0] if (s := get(parts[at] + parts[at + 1])) else None
+                open_[at - 1] = score(parts[at - 1] + both)
+            if at < len(open_):
+                open_[at] = score(both + parts[at + 1])
+        return parts
 
     def _merge_long(self, unit: str) -> list[str]:
         """The same with a heap, for units of any length."""
@@ -117,6 +138,95 @@ class Pieces:
                     heapq.heappush(heap, (-s[0], a, b, parts[a] + parts[b]))
         return [p for p in parts if p]
 
+    def fold_all(self, units: list[str]) -> list[tuple[int, ...]]:
+        """Piece ids of each unit.  Short units of a BPE model are merged side by side, one merge of each at a time."""
+        if self.kind == "unigram":
+            return [tuple(self.fold(u)) for u in units]
+        out: list = [None] * len(units)
+        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+        cut = bisect.bisect(order, LONG_UNIT, key=lambda k: len(units[k]))
+        for k in order[cut:]:
+            out[k] = tuple(self.fold(units[k]))
+        for i in range(0, cut, SIDE_BY_SIDE):
+            some = order[i : min(cut, i + SIDE_BY_SIDE)]
+            for k, ids in zip(some, self._merge_side_by_side([units[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    @cached_property
+    def merges(self) -> tuple[dict[str, int], int, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols (pieces, then characters that only longer pieces have), their number, and for each two symbols that
+        make a piece, sorted: both as one number, the rank of the piece's score (from 1), the piece's symbol."""
+        symbols = {name: k for k, name in enumerate(self.normal)}
+        for name in list(symbols):
+            for c in name:
+                symbols.setdefault(c, len(symbols))
+        size = len(symbols)
+        ranks = {x: k + 1 for k, x in enumerate(sorted({x for x, _ in self.normal.values()}))}
+        rows = [
+            (symbols[name[:i]] * size + symbols[name[i:]], ranks[score], symbols[name])
+            for name, (score, _) in self.normal.items()
+            for i in range(1, len(name))
+            if name[:i] in symbols and name[i:] in symbols
+        ]
+        keys, rank, made = (np.array(x, np.int64) for x in zip(*sorted(rows), strict=True))
+        return symbols, size, keys, rank.astype(np.int32), made.astype(np.int32)
+
+    def _merge_side_by_side(self, units: list[str]) -> list[tuple[int, ...]]:
+        symbols, size, keys, ranks, made = self.merges
+        n, lengths = len(units), np.array([len(u) for u in units])
+        width = int(lengths.max()) if n else 0
+        chars, inverse = np.unique(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), return_inverse=True)
+        names = [chr(c) for c in chars.tolist()]
+        own = np.array([symbols.get(c, -1 - k) for k, c in enumerate(names)], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        row, column = np.repeat(np.arange(n), lengths), np.arange(lengths.sum()) - np.repeat(begins, lengths)
+        held = np.full((n, width + 2), -1 - len(names), np.int64)  # symbols, with a mark on both sides
+        held[row, column + 1] = own[inverse]
+
+        def score(a, b):
+            at = np.searchsorted(keys, a * size + b)
+            at[at == len(keys)] = 0
+            fits = (keys[at] == a * size + b) & (a >= 0) & (b >= 0)
+            return np.where(fits, ranks[at], 0), made[at]
+
+        best, piece = score(held[:, :-1].ravel(), held[:, 1:].ravel())
+        best, piece = best.reshape(n, width + 1), piece.reshape(n, width + 1)
+        after, before = np.tile(np.arange(1, width + 3), (n, 1)), np.tile(np.arange(-1, width + 1), (n, 1))
+        live = np.arange(n)
+        while len(live):
+            at = best[live].argmax(1)
+            able = best[live, at] > 0
+            live, at = live[able], at[able]
+            gone = after[live, at]
+            held[live, at] = piece[live, at]
+            held[live, gone] = GONE
+            best[live, np.minimum(gone, width)] = 0
+            right, left = after[live, gone], before[live, at]
+            after[live, at] = right
+            before[live, right] = at
+            for a, b in ((at, right), (left, at)):
+                best[live, a], piece[live, a] = score(held[live, a], held[live, b])
+        kept = held[:, 1:-1]
+        kept = np.where(np.arange(width) < lengths[:, None], kept, GONE)
+        where, place = np.nonzero(kept != GONE)
+        flat, ids_of = kept[where, place].tolist(), self._ids_of_symbols
+        out: list[list[int]] = [[] for _ in units]
+        for k, x in zip(where.tolist(), flat, strict=True):
+            if x >= 0 and (found := ids_of[x]) >= 0:
+                out[k].append(found)
+            else:
+                out[k] += self.ids([names[-1 - x] if x < 0 else self._symbols_alone[x]])
+        return list(map(tuple, out))
+
+    @cached_property
+    def _ids_of_symbols(self) -> list[int]:
+        return [self.normal[name][1] if name in self.normal else -1 for name in self.merges[0]]
+
+    @cached_property
+    def _symbols_alone(self) -> dict[int, str]:
+        return {k: name for name, k in self.merges[0].items() if name not in self.normal}
+
     def _best_path(self, unit: str) -> list[str]:
         n, get = len(unit), self.normal.get
         worst = min(s for s, _ in self.normal.values()) - 10
@@ -136,23 +246,38 @@ class Pieces:
         return out[::-1]
 
 
+_UNIT = re.compile(" +[^ ]+| +$")
+
+
+def spaced_units(text: str) -> list[str]:
+    """A text's units: each begins with its white space marks, written as spaces."""
+    return _UNIT.findall(" " + text.replace(MARK, " ")) if text else []
+
+
 def units(text: str) -> list[str]:
-    """A text's units: each begins with its white space marks."""
-    if not text:
-        return []
-    first, *rest = text.replace(" ", MARK).split(MARK)
-    out, marks = [MARK + first], MARK
-    if not first:
-        out, marks = [], MARK + MARK
-    for part in rest:
-        if part:
-            out.append(marks + part)
-            marks = MARK
-        else:
-            marks += MARK
-    if len(marks) > 1:
-        out.append(marks[1:])
-    return out
+    return [u.replace(" ", MARK) for u in spaced_units(text)]
+
+
+class Known(dict):
+    """Piece ids by unit: the ``frequent`` ones, and others, folded as they come and for a while remembered."""
+
+    def __init__(self, pieces: Pieces, frequent: dict[str, tuple[int, ...]]):
+        super().__init__(frequent)
+        self.pieces, self.frequent = pieces, frequent
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and where each text's end."""
+        if len(self) > len(self.frequent) + KNOWN_UNITS:
+            self.clear()
+            self.update(self.frequent)
+        each = [spaced_units(x) for x in texts]
+        new = list(set().union(*each) - self.keys())
+        self.update(zip(new, self.pieces.fold_all([u.replace(" ", MARK) for u in new]), strict=True))
+        ids, ends = array("i"), [0]
+        for own in each:
+            ids.extend(chain.from_iterable(map(self.__getitem__, own)))
+            ends.append(len(ids))
+        return np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32), np.array(ends, np.int32)
 
 
 def encode_units(words: DataFrame, pieces: Pieces, unit_col: str = "unit") -> DataFrame:
@@ -210,8 +335,8 @@ def frequent_units(docs: DataFrame, text_col: str, bound: int = MAX_FREQUENT) ->
     def rows(batch):
         count: Counter[str] = Counter()
         for text in batch.column(1):
-            count.update({u for u in units(text.as_py().decode("utf-8", "replace")) if len(u) <= RELATIONAL_LENGTH})
-        often = [(u, n) for u, n in count.items() if n >= LEAST_FREQUENT]
+            count.update(set(spaced_units(text.as_py().decode("utf-8", "replace"))))
+        often = [(u.replace(" ", MARK), n) for u, n in count.items() if n >= LEAST_FREQUENT and len(u) <= RELATIONAL_LENGTH]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["unit", "n"])
 
     counts = map_arrow(source, rows, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -221,40 +346,31 @@ def frequent_units(docs: DataFrame, text_col: str, bound: int = MAX_FREQUENT) ->
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, kind: str = "bpe", bound: int = MAX_FREQUENT) -> DataFrame:
     """``id_col, text, ids array<int>``: the piece ids of every whole text."""
     pieces = Pieces(model, kind)
-    frequent = {r["unit"]: array("i", pieces.ids(r["parts"])) for r in encode_units(frequent_units(docs, text_col, bound), pieces).collect()}
+    lattice = encode_units(frequent_units(docs, text_col, bound), pieces)
+    frequent = {r["unit"].replace(MARK, " "): tuple(pieces.ids(r["parts"])) for r in lattice.collect()}
     shared = docs.sparkSession.sparkContext.broadcast((pieces, frequent))  # the model and at most `bound` units
-    source = docs.select(F.col(id_col), text_bytes(F.col(text_col)).alias("text"))
+    source = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
     kind_of = source.schema[0].dataType.simpleString()
 
     def run(batches):
-        pieces, frequent = shared.value
-        known = dict(frequent)
+        known = Known(*shared.value)
         for batch in batches:
-            ids, ends, first, size = array("i"), [0], 0, 0
+            texts, first, size = [], 0, 0
             for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py().decode("utf-8", "replace")
-                for unit in units(text):
-                    found = known.get(unit)
-                    if found is None:
-                        if len(known) > len(frequent) + KNOWN_UNITS:
-                            known = dict(frequent)
-                        found = array("i", pieces.fold(unit))
-                        if len(unit) <= LONG_UNIT:
-                            known[unit] = found
-                    ids.extend(found)
-                ends.append(len(ids))
-                size += len(text)
+                texts.append((batch.column(1)[row].as_py() or b"").decode("utf-8", "replace"))
+                size += len(texts[-1])
                 if size >= CHUNK_CHARS or row + 1 == batch.num_rows:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)))
+                    ids, ends = known.encode(texts)
                     part = batch.slice(first, row + 1 - first)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), lists], names=[id_col, "text", "ids"])
-                    ids, ends, first, size = array("i"), [0], row + 1, 0
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[id_col, "text", "ids"])
+                    texts, first, size = [], row + 1, 0
 
-    return source.mapInArrow(run, f"{id_col} {kind_of}, text string, ids array<int>")
+    return map_batches(source, run, f"{id_col} {kind_of}, text string, ids array<int>")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with ``decoded string``: the text of the pieces, without the white space that encoding puts first."""
+    df = df.drop("decoded")
     shared = df.sparkSession.sparkContext.broadcast(Pieces(model))
     place = df.columns.index(ids_col)
 
@@ -288,5 +404,5 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"),
+        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("round_trip"),
     )
