@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from pepspark.llm.common import drop_staged, staged
 
-ROUNDS = 60
+
+def is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge at most to a smaller one (a to b), and none of those has one itself."""
+    if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b): the least node of its component.
 
-    Each round joins every node's larger neighbours to its least neighbour, then its smaller ones; a few rounds make
-    stars of any graph.  Minima are combined before the shuffle and joined back, so a node of any degree is no hot
-    task.  Rounds are staged tables; only their row counts and checksums reach the driver.
+    Each round joins every node's larger neighbours to its least neighbour, then its smaller ones, until all that is left
+    are stars.  Minima are combined before the shuffle and staged before they are joined back, so that a node of any
+    degree is no hot task.  Rounds are staged tables; the driver learns only whether they are stars yet.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(ROUNDS):
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
+    while not is_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = staged(large, "large")
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = staged(large.groupBy("a").agg(F.min("b").alias("m")), "smallest")
         small = large.join(smallest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after = staged(small, "small")
-        drop_staged(now), drop_staged(large)
+        for done in (now, least, large, smallest):
+            drop_staged(done)
         now = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
