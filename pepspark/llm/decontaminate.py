@@ -7,9 +7,13 @@ is left is compared with the stored words.  No posting of a frequent word is sto
 
 Sides are broadcast only when counted and small (``BROADCAST_ROWS``); beyond that the same joins shuffle.
 
+Sides are small by their bytes as written, not by their rows, since one row may hold a phrase of many items.
+
 Null or wordless texts have no words and no hits.  An item without words has no window; items with equal windows are
-all reported.  Rows with the same id are taken for the same document and each get its result.  An empty benchmark
-gives zero hits; an empty corpus gives no rows.
+all reported.  Every row is a document of its own, whatever its id: rows with equal or null ids get each their own
+result.  Repeated items with the same id count once.  Texts of any length are one row of the token store.  Columns
+besides the named ones are not read, so their names clash with nothing.  An empty benchmark gives zero hits; an empty
+corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pepspark.llm.common import free_shuffles, lower_ascii, staged, table
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 ANCHORS = 2
+BROADCAST_BYTES = 16 << 20
 BROADCAST_ROWS = 200_000
 
 
@@ -32,9 +37,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
+def size_of(columns: list[str], schema) -> Column:
+    """Bytes of a row's strings and lists, and some for the rest."""
+    total = F.lit(16 * len(columns))
+    for c in columns:
+        kind = schema[c].dataType.simpleString()
+        if kind == "string":
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.octet_length(F.array_join(c, "  ")), F.lit(0)) + 24 * F.greatest(F.size(c), F.lit(0))
+    return total.cast("long")
+
+
 def checked(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if its rows and bytes are counted to be few."""
+    found = df.select(size_of(df.columns, df.schema).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= BROADCAST_ROWS and found["b"] <= BROADCAST_BYTES else df
 
 
 def windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
@@ -96,7 +114,7 @@ def phrase_matches(tokens: DataFrame, index: DataFrame, marks: DataFrame, phrase
     candidates = staged(phrase_candidates(index, marks), "candidates")
     free_shuffles(tokens.sparkSession)
     held = candidates.join(checked(phrases.select("phrase_id", "phrase", "items")), "phrase_id").select("doc", "start", "phrase", "items")
-    some = tokens.join(checked(candidates.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc"])
+    some = tokens.select("doc", "words").join(checked(candidates.select("doc").distinct()), "doc", "left_semi")
     return (
         some.join(held, "doc")
         .where(F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
@@ -134,7 +152,7 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id_col, n_words, n_hit, n_items, items``: hits of all windows of the items in all documents."""
-    tokens = staged(docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("words")), "tokens")
+    tokens = staged(docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")), "tokens")
     phrases = staged(windows(items, item_col, item_text_col), "phrases")
     terms = phrases.select(F.explode("phrase").alias("term")).distinct()
     frequencies = staged(term_frequencies(tokens, terms), "frequencies")
@@ -146,8 +164,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .agg(F.collect_set(F.struct("start", "length")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
         .select("doc", covered(F.col("_spans")).alias("n_hit"), "_items")
     )
-    return tokens.select("doc", F.size("words").cast("long").alias("n_words")).join(hits, "doc", "left").select(
-        F.col("doc").alias(id_col),
+    return tokens.select("doc", "id", F.size("words").cast("long").alias("n_words")).join(hits, "doc", "left").select(
+        F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),

@@ -18,7 +18,10 @@ documents' blocks one at a time.  A pair that every document has is one entry of
 task; frequent histories are spread over buckets by their next word.  Buckets follow the number of tokens.  A history
 or next word without a short number is left open where a pair is new to the model, and its terms are added by a join.
 
-Null text counts as empty: one end token.  Rows that share an id get the mean of their scores, each row as training text.
+Null text counts as empty: one end token.  Every row is a text of its own, for training and for its score, also where ids
+repeat or are null (a null id is the empty text to the hash that holds rows out).  Texts of any length are taken
+whole, some at a time.  Ties between words of equal counts change which have short numbers, not the scores.  No columns
+but the id and the text are read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pepspark.llm.common import free_shuffles, map_arrow, mix, staged, table, text_bytes, word_chunks
+from pepspark.llm.common import by_row, free_shuffles, map_arrow, map_batches, mix, staged, table, text_bytes, word_chunks
 
 CACHED = 131_072
 BITS = 20  # of a short number in a pair
@@ -49,8 +52,12 @@ def held_out(id_col: Column, modulus: int = 7, remainder: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), text_bytes(F.col(text_col)).alias("text"), held_out(F.col(id_col)).alias("held"))
+def _source(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``doc, text, held`` of rows with unique keys; ``ids`` (``doc, id``) where the key isn't the id."""
+    if ids is None:
+        return rows.select("doc", text_bytes(F.col("text")).alias("text"), held_out(F.col("doc")).alias("held"))
+    named = rows.join(ids.select("doc", held_out(F.col("id")).alias("held")), "doc")
+    return staged(named.select("doc", text_bytes(F.col("text")).alias("text"), "held"), "named")
 
 
 def _word_chunks(batch: pa.RecordBatch):
@@ -172,7 +179,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def word_scores(source: DataFrame, counts: DataFrame, lexicon) -> DataFrame:
-    """``doc, m, n_tokens, n_known, n_other, base, rare, log_h``: per id, sums over all its rows (m of them).
+    """``doc, n_tokens, n_known, n_other, base, rare, log_h`` of every row.
 
     ``base`` sums log10(c + 1) over tokens; ``rare`` over words without a short number alone; ``log_h`` log10(c(h) + 1)
     over histories with one.  Frequent words' counts are in every task; the others meet the corpus counts in a join.
@@ -220,8 +227,8 @@ def word_scores(source: DataFrame, counts: DataFrame, lexicon) -> DataFrame:
     log = F.log10(F.coalesce("c", F.lit(0)) + 1) * F.col("times")
     rare = rare.groupBy("doc").agg(F.sum(log).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
     rare = rare.select("doc", "known", F.col("rare").alias("base"), "rare")
-    plain = both.where("word is null").select("doc", F.col("times").alias("m"), F.col("tokens").alias("n_tokens"), "known", F.col("other").alias("n_other"), "base", "log_h")
-    sums = plain.unionByName(rare, allowMissingColumns=True).groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("m", "n_tokens", "known", "n_other", "base", "rare", "log_h")))
+    plain = both.where("word is null").select("doc", F.col("tokens").alias("n_tokens"), "known", F.col("other").alias("n_other"), "base", "log_h")
+    sums = plain.unionByName(rare, allowMissingColumns=True).groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "known", "n_other", "base", "rare", "log_h")))
     return sums.withColumn("rare", F.coalesce("rare", F.lit(0.0))).withColumnRenamed("known", "n_known")
 
 
@@ -264,7 +271,7 @@ def pair_blocks(source: DataFrame, lexicon) -> DataFrame:
             if waiting:
                 yield from blocks_of(chunk, waiting, held, lex)
 
-    return source.mapInArrow(run, SHAPE)
+    return map_batches(source, run, SHAPE)
 
 
 def blocks_of(chunk: int, waiting: list[tuple[np.ndarray, ...]], held: np.ndarray, lex: Lexicon):
@@ -369,7 +376,7 @@ def pair_parts(blocks: DataFrame, lexicon, buckets: int) -> DataFrame:
         if waiting:
             yield from close()
 
-    return staged(dealt.mapInArrow(run, SHAPE), "parts")
+    return staged(map_batches(dealt, run, SHAPE), "parts")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -415,7 +422,7 @@ def _blobs(parts: DataFrame, kind: int, rows, schema: str) -> DataFrame:
             for i in range(batch.num_rows):
                 yield from pa.table(rows(batch.column(0)[i].as_py(), unpack(batch.column(1)[i].as_py()))).to_batches()
 
-    return parts.where(f"kind = {kind}").select("chunk", "blob").mapInArrow(run, schema)
+    return map_batches(parts.where(f"kind = {kind}").select("chunk", "blob"), run, schema)
 
 
 def rare_next(parts: DataFrame, rare: DataFrame, lex: Lexicon) -> DataFrame:
@@ -479,13 +486,14 @@ def pair_scores(parts: DataFrame, backoff) -> DataFrame:
         if sums is not None:
             yield done()
 
-    return dealt.mapInArrow(run, "chunk long, text long, doc string, pairs double")
+    return map_batches(dealt, run, "chunk long, text long, doc string, pairs double")
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int | None = None, cached: int = CACHED) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
-    source = _source(docs, id_col, text_col)
+    rows, ids = by_row(docs, id_col, text_col)
+    source = _source(rows, ids)
     counts = word_counts(source)
     lex = Lexicon(counts, bound, cached)
     shared = spark.sparkContext.broadcast(lex)
@@ -506,17 +514,20 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = pairs.groupBy("doc").agg(F.sum("pairs").alias("pairs"))
     unit = math.log10(lex.tokens + lex.distinct + 1)
     inside = math.log10(lex.class_tokens + lex.class_distinct + 1)
-    mean = lambda c: c / F.col("m")  # noqa: E731  of the rows that share an id
-    found = words.withColumn("_key", F.coalesce(F.col("doc").cast("string"), F.lit(""))).join(pairs.withColumnRenamed("doc", "_key"), "_key", "left")
+    found = words.withColumn("_key", F.col("doc").cast("string")).join(pairs.withColumnRenamed("doc", "_key"), "_key", "left")
     found = found.select(
         "doc",
-        F.expr("n_tokens div m").alias("n_tokens"),
-        F.expr("n_known div m").alias("n_known"),
-        mean(F.col("base") - F.col("n_tokens") * unit).alias("base_score"),
-        mean(F.col("pairs") - F.col("log_h") - F.col("rare") if lex.open else F.col("pairs") - F.col("log_h") + F.col("rare") - F.col("n_other") * inside).alias("score"),
-        F.explode(F.array_repeat(F.lit(lex.tokens), F.col("m").cast("int"))).alias("train_tokens"),
+        "n_tokens",
+        "n_known",
+        F.lit(lex.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * unit).alias("base_score"),
+        (F.col("pairs") - F.col("log_h") - F.col("rare") if lex.open else F.col("pairs") - F.col("log_h") + F.col("rare") - F.col("n_other") * inside).alias("score"),
     )
-    return found.select(F.col("doc").alias(id_col), held_out(F.col("doc")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    if ids is None:
+        found = found.withColumn("id", F.col("doc"))
+    else:
+        found = found.join(ids, "doc")
+    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_language_model(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@ to; runs of windows that share a minimizer are the graph's compacted paths, one
 Every aggregate combines before it shuffles and every join can be split by AQE, so a passage that a third of the
 documents share is no hot task.  Each phase is staged and the one before it dropped, so disk holds one phase.
 
-Null text has no words.  Rows of the same id are one document for comparison and each get a result by their own
-words.  Rows with a null id are kept as they are.
+Null text has no words.  Every row is a document of its own, found by its own number where ids repeat; a window is
+repeated where a smaller id has it, so rows with equal ids don't take from each other.  Rows with a null id are kept as
+they are and take from nobody.  Texts of any length are taken whole, some at a time.  No
+columns but the id and the text are read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pepspark.llm.common import drop_staged, free_shuffles, map_arrow, mix, ngram_hashes, staged, table, text_bytes, word_chunks
+from pepspark.llm.common import by_row, drop_staged, free_shuffles, map_arrow, mix, ngram_hashes, staged, table, text_bytes, word_chunks
 
 WINDOW = 13
 NODE = 4
@@ -61,9 +63,21 @@ def _paths(hashes: np.ndarray, lengths: np.ndarray, size: int, node: int):
     return text[first], best[first].view(np.int64), path.view(np.int64), inside[first], count
 
 
-def graph_paths(docs: DataFrame, id_col: str, text_col: str, size: int, node: int) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``doc, text``: the key of a row is its id, or (id, number of the row) where ids repeat or are null."""
+    rows, ids = by_row(docs, id_col, text_col)
+    if ids is None:
+        return rows, False
+    return staged(rows.join(ids, "doc").select(F.struct("id", "doc").alias("doc"), "text"), "numbered"), True
+
+
+def _id(key: str, paired: bool):
+    return F.col(f"{key}.id" if paired else key)
+
+
+def graph_paths(source: DataFrame, size: int, node: int, paired: bool) -> DataFrame:
     """``node, path, doc, start, n``: every compacted path of every document."""
-    source = docs.select(F.col(id_col).alias("doc"), text_bytes(F.col(text_col)).alias("text")).where("doc is not null")
+    source = source.select("doc", text_bytes(F.col("text")).alias("text")).where(_id("doc", paired).isNotNull())
 
     def rows(batch):
         for numbers, hashes, lengths in word_chunks(batch):
@@ -76,19 +90,19 @@ def graph_paths(docs: DataFrame, id_col: str, text_col: str, size: int, node: in
     return map_arrow(source, rows, f"node long, path long, doc {source.schema[0].dataType.simpleString()}, start int, n int")
 
 
-def repeated_nodes(paths: DataFrame) -> DataFrame:
+def repeated_nodes(paths: DataFrame, paired: bool = False) -> DataFrame:
     """``node, first_doc, single``: nodes of two or more documents; ``single`` if they have one path only."""
     return (
         paths.groupBy("node")
-        .agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"), F.min("path").alias("_low"), F.max("path").alias("_high"))
+        .agg(F.min(_id("doc", paired)).alias("first_doc"), F.max(_id("doc", paired)).alias("_last"), F.min("path").alias("_low"), F.max("path").alias("_high"))
         .where("first_doc < _last")
         .select("node", "first_doc", (F.col("_low") == F.col("_high")).alias("single"))
     )
 
 
-def edge_hashes(docs: DataFrame, id_col: str, text_col: str, branching: DataFrame, size: int) -> DataFrame:
+def edge_hashes(source: DataFrame, branching: DataFrame, size: int) -> DataFrame:
     """``doc, pos, h1, h2``: the windows of the branching paths (``doc, paths array<struct<start,n>>``)."""
-    source = docs.select(F.col(id_col).alias("doc"), text_bytes(F.col(text_col)).alias("text")).join(branching, "doc").select("doc", "text", "paths")
+    source = source.select("doc", text_bytes(F.col("text")).alias("text")).join(branching, "doc").select("doc", "text", "paths")
 
     def rows(batch):
         for numbers, hashes, lengths in word_chunks(batch):
@@ -98,8 +112,6 @@ def edge_hashes(docs: DataFrame, id_col: str, text_col: str, branching: DataFram
             for k, number in enumerate(numbers):
                 runs = batch.column(2)[number].values
                 start, count = runs.field("start").to_numpy(), runs.field("n").to_numpy()
-                fits = start + count + size - 1 <= lengths[k]  # rows that share an id may differ in length
-                start, count = start[fits], count[fits]
                 pos = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 ids.append(np.full(len(pos), number)), places.append((pos, begins[k] + pos))
             pos, at = np.concatenate([p for p, _ in places]).astype(np.int32), np.concatenate([a for _, a in places]).astype(np.int64)
@@ -110,12 +122,13 @@ def edge_hashes(docs: DataFrame, id_col: str, text_col: str, branching: DataFram
     return map_arrow(source, rows, f"doc {source.schema[0].dataType.simpleString()}, pos int, h1 long, h2 long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, node: int = NODE) -> DataFrame:
+def repeated_spans(source: DataFrame, paired: bool, size: int = WINDOW, node: int = NODE) -> DataFrame:
     """``doc, spans array<struct<start,n>>``: runs of windows that an earlier document (by id) has too."""
-    paths = staged(graph_paths(docs, id_col, text_col, size, node), "paths")
-    nodes = staged(repeated_nodes(paths), "nodes")
-    free_shuffles(docs.sparkSession)
-    met = paths.drop("path").join(nodes, "node").where("not single or doc > first_doc")
+    spark, own = source.sparkSession, _id("doc", paired)
+    paths = staged(graph_paths(source, size, node, paired), "paths")
+    nodes = staged(repeated_nodes(paths, paired), "nodes")
+    free_shuffles(spark)
+    met = paths.drop("path").join(nodes, "node").where(~F.col("single") | (own > F.col("first_doc")))
     flags = staged(
         met.groupBy("doc").agg(
             F.collect_list(F.when(F.col("single"), F.struct("start", "n"))).alias("spans"), F.collect_list(F.when(~F.col("single"), F.struct("start", "n"))).alias("paths")
@@ -123,11 +136,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "flags",
     )
     drop_staged(paths), drop_staged(nodes)
-    edges = edge_hashes(docs, id_col, text_col, flags.where("size(paths) > 0").select("doc", "paths"), size)
+    edges = edge_hashes(source, flags.where("size(paths) > 0").select("doc", "paths"), size)
     edges = staged(edges, "edges")
-    free_shuffles(docs.sparkSession)
-    first = edges.groupBy("h1", "h2").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last").drop("_last")
-    later = edges.join(first, ["h1", "h2"]).where("doc > _first").groupBy("doc").agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.lit(1).alias("n"))).alias("spans"))
+    free_shuffles(spark)
+    first = edges.groupBy("h1", "h2").agg(F.min(own).alias("_first"), F.max(own).alias("_last")).where("_first < _last").drop("_last")
+    first = staged(first, "first")  # a table of its own, so that the join below is split where one window is in many documents
+    free_shuffles(spark)
+    later = edges.join(first, ["h1", "h2"]).where(own > F.col("_first")).groupBy("doc").agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.lit(1).alias("n"))).alias("spans"))
     spans = flags.select("doc", "spans").unionByName(later).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")).where("size(spans) > 0")
     out = staged(spans, "spans")
     drop_staged(edges), drop_staged(flags)
@@ -144,8 +159,9 @@ def removed_words(length: int, starts, counts, size: int) -> np.ndarray:
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, node: int = NODE) -> DataFrame:
     """``id_col, n_words, n_removed, kept``: each text without the words of windows that an earlier document has."""
-    spans = repeated_spans(docs, id_col, text_col, size, node)
-    source = docs.select(F.col(id_col), text_bytes(F.col(text_col)).alias("text")).join(spans.withColumnRenamed("doc", id_col), id_col, "left").select(id_col, "text", "spans")
+    rows_of, paired = numbered(docs, id_col, text_col)
+    spans = repeated_spans(rows_of, paired, size, node)
+    source = rows_of.select("doc", text_bytes(F.col("text")).alias("text")).join(spans, "doc", "left").select(_id("doc", paired).alias(id_col), "text", "spans")
 
     def rows(batch):
         total, gone, kept = [], [], []
@@ -154,8 +170,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             total.append(len(words))
             if found.is_valid:
                 start, count = found.values.field("start").to_numpy(), found.values.field("n").to_numpy()
-                fits = start < len(words)
-                cut = removed_words(len(words), start[fits], count[fits], size)
+                cut = removed_words(len(words), start, count, size)
                 gone.append(int(cut.sum()))
                 words = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
             else:
