@@ -5,8 +5,11 @@ nested boxes and decodes the sample tables into codec, duration and key frame by
 payload; ``read_samples`` reads the payload back by those ranges.  All three map rows to rows: no shuffle, and
 memory bounded by one Arrow batch.
 
-Null text counts as empty; an empty text becomes one padding frame.  Repeated rows give repeated rows.  Bytes that
-are no ISO media file give a null codec, zero duration and no ranges.
+Null text counts as empty; an empty text becomes one padding frame.  Repeated rows give repeated rows, whatever their ids,
+null ones too.  A text of any length is one file; from 4 GiB boxes and chunk offsets are of 64 bits.  Bytes that are no ISO
+media file give a null codec, zero duration and no ranges; a file of several tracks is known by its first video track.
+``mux`` reads no columns but the id and the text; ``index_media`` and ``read_samples`` keep all columns and replace ones
+that are called ``info`` or ``payload``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pepspark.llm.common import map_arrow, table, text_bytes
+from pepspark.llm.common import bounded_batches, map_arrow, table, text_bytes
 
 FRAME = 576
 WIDTH = HEIGHT = 24
@@ -124,16 +127,22 @@ def _leaves(data: bytes, start: int, end: int, trak: int = 0) -> Iterator[tuple[
 
 
 def parse_file(data: bytes) -> dict | None:
-    """Codec, size, duration, sample and key frame byte ranges of the first track; None if there is none."""
+    """Codec, size, duration, sample and key frame byte ranges of the first video track, or else of the first track (whose
+    size is 0); None if there is none."""
     try:
-        leaf = {kind: (a, b) for trak, kind, a, b in _leaves(data, 0, len(data)) if trak == 1}
-        if not {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= leaf.keys():
+        tracks: dict[int, dict[bytes, tuple[int, int]]] = {}
+        for trak, kind, a, b in _leaves(data, 0, len(data)):
+            tracks.setdefault(trak, {})[kind] = (a, b)
+        whole = [x for _, x in sorted(tracks.items()) if {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= x.keys()]
+        if not whole:
             return None
+        seen = [x for x in whole if b"hdlr" in x and data[x[b"hdlr"][0] + 8 : x[b"hdlr"][0] + 12] == b"vide"]
+        leaf = (seen or whole)[0]
         at = leaf[b"stsd"][0] + 8
         codec = data[at + 4 : at + 8].decode("latin-1")
-        width, height = struct.unpack_from(">HH", data, at + 32)
+        width, height = struct.unpack_from(">HH", data, at + 32) if seen else (0, 0)
         at = leaf[b"mdhd"][0]
-        scale = struct.unpack_from(">Q" if data[at] == 1 else ">I", data, at + 20 if data[at] == 1 else at + 12)[0] & 0xFFFFFFFF
+        scale = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]  # times before it are of 8 bytes or 4
         at = leaf[b"stts"][0] + 4
         deltas = struct.unpack_from(f">{2 * struct.unpack_from('>I', data, at)[0]}I", data, at + 4)
         ticks = sum(n * d for n, d in zip(deltas[::2], deltas[1::2], strict=True))
@@ -207,6 +216,8 @@ def index_media(df: DataFrame, media_col: str = "media") -> DataFrame:
         ]
     )
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf(info)
     def read(media):
         import pandas as pd
@@ -243,5 +254,5 @@ def op5_media_columns(spark, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws("|", info["codec"], F.concat_ws("x", info["width"], info["height"]), F.concat_ws("/", info["duration"], info["timescale"]), info["n_samples"], info["n_keyframes"], ranges).alias("feature"),
-        (info["duration"] / info["timescale"]).alias("seconds"),
+        F.when(info["timescale"] > 0, info["duration"] / F.when(info["timescale"] > 0, info["timescale"])).alias("seconds"),
     )
