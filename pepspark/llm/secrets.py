@@ -6,7 +6,9 @@ a bare key counts only within ``SCOPE`` code points of an access identifier, an
 identifier or an assignment.  The join is a range frame over each document's parts in order of position, so its work
 is linear in the parts and no pair is made.  Only documents with both kinds of parts are shuffled, without texts.
 
-Null text counts as empty.  Every row is scanned by itself, repeated rows and ids included.
+Null text counts as empty.  Every row is scanned by itself, repeated rows, repeated ids and null ids included.  Texts are
+scanned whole, of any length.  Spans that start at one place are in order of their kinds.  ``scan_secrets`` reads no columns
+but the id and the text; ``redact_secrets`` keeps all columns as they are.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ KINDS = ("assign", "access", "hex", "key", "endpoint")
 STRONG = ("assign", "access", "hex")
 SCOPE = 256
 LEAST_VALUE = 6
+BLOCK = 256
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -36,6 +39,7 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """(start, end) of the leftmost matches, in code points; those whose ``group`` is shorter than ``least`` drop.
 
     A match starts where the gaps and matches before it end: ``split`` gives the gaps, ``regexp_extract_all`` the matches.
+    Sums run over ``BLOCK`` matches at a time, and then over the blocks, so the work is near linear in the matches.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
@@ -50,15 +54,33 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
 
     rows = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
     rows = F.zip_with(rows, sizes, lambda r, s: F.struct(r["hit"].alias("hit"), r["gap"].alias("gap"), s.alias("size")))
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, add, lambda s: s["out"])).otherwise(F.array().cast(SPANS))
+
+    def whole(rows):
+        count = F.ceil(F.size(rows) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+        return _placed(blocks)
+
+    few = F.aggregate(rows, zero, add, lambda s: s["out"])
+    found = F.when(F.size(hits) <= BLOCK, few).otherwise(whole(rows))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
+
+
+def _placed(blocks: Column) -> Column:
+    """The spans of all blocks, each block's moved by the lengths of those before it."""
+    begins = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+
+    def moved(block, by):
+        return F.transform(block["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+
+    return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), moved))
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_row, id_col`` and an array of spans for each kind; staged, so that ``_row`` stays as it is."""
+    """``_row, _id`` and an array of spans for each kind; staged, so that ``_row`` stays as it is."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), text.alias("_text")).select(
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text.alias("_text")).select(
         "_row",
-        id_col,
+        "_id",
         spans(F.col("_text"), ASSIGN, 2, LEAST_VALUE).alias("assign"),
         spans(F.col("_text"), ACCESS).alias("access"),
         spans(F.col("_text"), HEX).alias("hex"),
@@ -95,7 +117,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     base = F.array_sort(_tagged(STRONG))
     return parts.join(link_parts(parts, scope), "_row", "left").select(
-        id_col, "assign", "access", "hex", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", none))).alias("spans")
+        F.col("_id").alias(id_col), "assign", "access", "hex", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", none))).alias("spans")
     )
 
 
