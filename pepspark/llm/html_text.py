@@ -6,9 +6,12 @@ in two pages of the host or more go, and unique runs stay.  The streams of a hos
 concatenated, and a suffix array over their words finds the runs; those of a larger host, which no task could hold, meet
 by the hash of every window of ``RUN`` words, with the same result.  Pages of the first kind never leave their task.
 
-Blocks are joined in page order by a newline, white space (as Unicode has it) in a block is one space, ``br`` is white
+What isn't the article's is known by its element, or by a class, id or role all of whose words say so (``NOT_TEXT``, with
+``NEUTRAL`` ones; ``ALWAYS`` whatever is beside them): ``related-posts`` goes, ``related-work`` stays.  Attributes are parsed, so that no other attribute's name
+or value counts.  Blocks are joined in page order by a newline, white space (as Unicode has it) in a block is one space, ``br`` is white
 space.  Null or empty pages, and pages without words, have empty text.  Repeated rows stay rows; with suffix arrays, rows
-of the same page id count as one page.  Pages without a host count as one host.
+of the same page id count as one page.  Pages without a host count as one host.  A page of any length is parsed once, in
+one pass.  No columns but the id, the url and the html are read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +31,24 @@ RUN = 8
 TASK_PAGES = 256
 
 #: Elements by what they mean for the text, and words in class, id or role of what isn't the article's.
-RAW = "script style noscript template textarea title svg math iframe object select option button canvas audio video".split()
+RAW = "script style noscript template textarea title svg iframe object select option canvas audio video".split()
 APART = {"nav", "aside", "form", "footer", "dialog", "menu", "head", "header"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = set("a abbr acronym b bdi bdo big button cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOT_TEXT = (
-    r"ads?|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|sidebar|widget|related|recommended|recommendations|comment|comments|disqus|replies|"
-    r"reply|respond|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|contentinfo|complementary|header|masthead|toolbar|pagination|pager|search|dialog|skip"
+#: Elements that are text: where their ids point to is no part apart from the article.
+TEXT = HEADINGS | {"p", "li", "blockquote", "pre", "figure", "figcaption", "td", "th", "dd", "dt"}
+NOT_TEXT = set(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social sidebar widget related recommended recommendations comment comments disqus replies "
+    "reply respond nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo complementary header masthead toolbar pagination pager search dialog skip".split()
+)
+#: Those that say so whatever words they stand beside.
+ALWAYS = set("ads advert adverts advertisement advertising adsense cookie cookies gdpr newsletter sidebar disqus navbar breadcrumb breadcrumbs pagination".split())
+#: Words that stand beside the others in the names of such parts and say nothing of their own.
+NEUTRAL = set(
+    "area article bar blog block body bottom box btn button buttons card container content desktop entry fixed form global google group icons inner item items js left link "
+    "links list main mobile native outer page panel post posts right section site slot sticky stories story text thread top unit wrap wrapper".split()
 )
 
 _TOKEN = re.compile(
@@ -44,29 +56,49 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*>?",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NOT = re.compile(rf"(?:^|[\s_-])(?:{NOT_TEXT})(?=$|[\s_-])", re.I)
-_OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content|page)[_-]?(?:header|heading)(?=$|[\s_-])", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?|["'][^"']*["']?""")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+_OWN_HEADER = re.compile(r"(?:^|\s)(?:article|entry|post|story|content|page)[_-]*(?:header|heading)(?=$|\s)", re.I)
 
 KEPT, HEADINGS_ONLY, GONE = 0, 1, 2
 
 
+def attributes(text: str) -> dict[str, str]:
+    """An element's attributes by lower-case name; the first of equal names, as browsers take it."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        if m[1]:
+            out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def names_apart(value: str) -> bool:
+    """Whether a class, id or role has a name made of words for what isn't the article's, with neutral ones at most beside."""
+    for name in value.split():
+        words = [w.lower() for w in _PARTS.split(name) if w and not w[0].isdigit()]
+        if ALWAYS.intersection(words) or NOT_TEXT.intersection(words) and NOT_TEXT.union(NEUTRAL).issuperset(words):
+            return True
+    return False
+
+
 def _standing(tag: str, attrs: str, inside: int, article: bool) -> int:
     """What the text of an element is to the article, given what its parent's is."""
     if inside == GONE or tag in APART and not (tag == "header" and article):
         return GONE
     if tag == "header":
         return HEADINGS_ONLY
-    for name, *values in _ATTR.findall(attrs) if attrs and tag not in ("html", "body") else ():
-        value = "".join(values)
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+    if not attrs or tag in ("html", "body"):
+        return inside
+    own = attributes(attrs)
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "")):
+        return GONE
+    if _OWN_HEADER.search(own.get("class", "")):
+        return HEADINGS_ONLY if article else inside
+    for name in ("class", "id", "role"):
+        # the id of a paragraph or heading is the target of a link, not what it is
+        if name in own and not (tag in TEXT and name == "id") and not (tag in HEADINGS and name == "class") and names_apart(own[name]):
             return GONE
-        if name in ("class", "id", "role"):
-            if _OWN_HEADER.search(value):
-                return HEADINGS_ONLY if article else inside
-            if _NOT.search(value):
-                return GONE
     return inside
 
 
@@ -121,7 +153,7 @@ def blocks(page: str) -> tuple[str, list[str]]:
             stack.pop()
         _, standing, region, _ = stack[-1]
         standing = _standing(tag, m["attrs"] or "", standing, region != "page")
-        if standing != GONE and (tag == "article" or tag == "main" and region == "page" or region == "page" and re.search(r"""role\s*=\s*["']?main\b""", m["attrs"] or "", re.I)):
+        if standing != GONE and (tag == "article" or tag == "main" and region == "page" or region == "page" and attributes(m["attrs"] or "").get("role", "").lower() == "main"):
             region = "article" if tag == "article" else "main"
             seen.add(region)
         stack.append([tag, standing, region, 0])
