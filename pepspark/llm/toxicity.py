@@ -8,7 +8,9 @@ not shape the lexicon.  The model (lexicon of at most ``MAX_TERMS`` terms) is sm
 
 Score: every whole text, row by row, without a shuffle.  Null and empty texts get the score of a text without tokens.
 Labels that are null count as missing, repeated labels of an id as toxic if one is.  Without labels of both
-classes the score is the share of toxic rows (0 if there are none).
+classes the score is the share of toxic rows (0 if there are none).  Rows are scored one by one, whatever their ids; texts
+of any length are read once.  Where segments tie, the earlier one counts.  ``score`` keeps all columns and replaces ones that
+are called ``score`` or ``passages``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pepspark.llm.common import map_arrow, staged, table, text_bytes
+from pepspark.llm.common import bounded_batches, map_arrow, staged, table, text_bytes
 
 MAX_LABELLED = 16_384
 MAX_TERMS = 4_096
@@ -207,6 +209,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score double`` and ``passages``: the significant segments as token spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
     limit = math.log(SIGNIFICANT)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", PASSAGES)]))
     def run(texts):
