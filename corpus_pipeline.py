@@ -7,6 +7,10 @@ secrets         strong and linked secret spans are replaced by ``[kind]``
 sentencepiece   the last: what is left, encoded to piece ids, with the text decoded again
 
 Each stage works on all that its predecessor kept.  All but the last return the columns of ``documents``.
+
+Every row is a document of its own: ids may repeat or be null, and what a stage decides of one row leaves others with its
+id alone.  Rows with null or empty texts are clean, in no group, and stay, with null or empty text and no pieces.  Texts are
+taken whole.  An empty table comes out empty.
 """
 
 from __future__ import annotations
@@ -27,23 +31,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(rows, fit(docs, table(spark, sf_dir, "labels"))).where("score < 0.5").select("_row.*")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that no two rows share: the id, or where ids repeat or are null, numbers in a staged table."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id have no group and stay; of rows that share the leading id one stays, the least text."""
-    found = near_components(docs.select("doc_id", "text"))
-    led = found.where("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.join(led, "doc_id", "left_anti")
-    twice = found.where("doc is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    twice = staged(twice, "twice")
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    first = kept.join(twice, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    """Of each group the row with the least id stays (null ids last; of rows that share it, the least text)."""
+    rows, key = _numbered(docs)
+    found = near_components(rows.select(key, "text"), key)
+    if key == "doc_id":
+        gone = found.where("doc <> component").select(F.col("doc").alias(key))
+    else:
+        found = staged(rows.join(found.withColumnRenamed("doc", key), key).select(key, "component", F.struct(F.col("doc_id").isNull(), "doc_id", "text", key).alias("order")), "found")
+        first = staged(found.groupBy("component").agg(F.min("order").alias("least")), "first")
+        gone = found.join(first, "component").where(~F.col("order").eqNullSafe(F.col("least"))).select(key)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    rows, key = _numbered(docs)
+    hit = decontaminate(rows.select(key, "text"), table(spark, sf_dir, "benchmark"), key).where("n_hit > 0").select(key)
+    return rows.join(hit, key, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +63,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = decode(encode(docs).select("doc_id", "text", "ids"))
-    return done.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.translate("text", "▁", " ")).alias("round_trip"))
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    return done.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 
 
 STAGES = [
