@@ -131,11 +131,11 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, frequencies: DataFra
     terms = phrases.select("phrase_id", F.size(F.array_distinct("phrase")).alias("_n"), (F.size("phrase") + slop).alias("_span"), F.explode(F.array_distinct("phrase")).alias("term"))
     found = index.join(checked(terms.join(frequencies.select("term", "term_id"), "term")), "term_id")
     spans = [r[0] for r in terms.select("_span").distinct().collect()]  # at most one for each phrase length
-    out = None
+    out = index.sparkSession.createDataFrame([], f"phrase_id long, doc {index.schema['doc'].dataType.simpleString()}, end {index.schema['pos'].dataType.simpleString()}")
     for span in spans:
         near = Window.partitionBy("phrase_id", "doc").orderBy("pos").rangeBetween(-(span - 1), 0)
         part = found.where(F.col("_span") == span).withColumn("_seen", F.size(F.collect_set("term").over(near))).where("_seen = _n").select("phrase_id", "doc", F.col("pos").alias("end"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
@@ -150,26 +150,37 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, add, lambda s: s["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id_col, n_words, n_hit, n_items, items``: hits of all windows of the items in all documents."""
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slop: int | None = None) -> DataFrame:
+    """``id_col, n_words, n_hit, n_items, items``: hits of all windows of the items in all documents.
+
+    With ``slop``, also ``near_items``: items all of whose words of a window stand near each other, in any order, within the
+    window's length and that many words more.  The index then holds the postings of all terms of the windows.
+    """
     tokens = staged(docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")), "tokens")
     phrases = staged(windows(items, item_col, item_text_col), "phrases")
     terms = phrases.select(F.explode("phrase").alias("term")).distinct()
     frequencies = staged(term_frequencies(tokens, terms), "frequencies")
     marks = staged(anchors(phrases, frequencies), "anchors")
-    index = build_index(tokens, marks.select("term", "term_id").distinct())
+    index = build_index(tokens, (marks if slop is None else frequencies).select("term", "term_id").distinct())
     hits = (
         phrase_matches(tokens, index, marks, phrases)
         .groupBy("doc")
         .agg(F.collect_set(F.struct("start", "length")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
         .select("doc", covered(F.col("_spans")).alias("n_hit"), "_items")
     )
+    more = []
+    if slop is not None:
+        met = proximity_matches(index, phrases, frequencies, slop).select("phrase_id", "doc").distinct()
+        near = met.join(phrases.select("phrase_id", F.explode("items").alias("_item")), "phrase_id").groupBy("doc").agg(F.array_sort(F.collect_set("_item")).alias("_near"))
+        hits = hits.join(near, "doc", "full")
+        more = [F.coalesce("_near", F.array().cast("array<string>")).alias("near_items")]
     return tokens.select("doc", "id", F.size("words").cast("long").alias("n_words")).join(hits, "doc", "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+        *more,
     )
 
 
