@@ -4,11 +4,12 @@ import base64
 import hashlib
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from pepspark.llm import html_text, toxicity, warc
+from pepspark.llm import html_text, media, toxicity, warc
 from pepspark.llm.registry import QUERIES
 
 TEST_DATA = "/root/testdata/sf0.01"
@@ -42,9 +43,11 @@ def test_warc_query(spark, pages):
 
 def test_warc_archives(spark, pages, tmp_path):
     archives = warc.write_archives(spark.read.parquet(pages[0] + "/pages.parquet"), min_bytes=5)
-    paths = warc.export_archives(archives, str(tmp_path))
-    data = open(paths[0], "rb").read()
-    assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and all(x.startswith(b"WARC/1.1\r\n") for x in warc.frames(data))
+    paths = warc.export_archives(archives, str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out")) == [p.rpartition("/")[2] for p in paths] and len(paths) == archives.count()
+    for path in paths:
+        data = open(path, "rb").read()
+        assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and all(x.startswith(b"WARC/1.1\r\n") for x in warc.frames(data))
     back = {r["page_id"]: r for r in warc.read_archives(archives).collect()}
     assert [back[i]["record_type"] for i in (1, 2, 7)] == ["response"] * 3  # four bytes are below min_bytes
     assert back[5]["payload"].decode() == "<p>é" * 3000
@@ -52,6 +55,51 @@ def test_warc_archives(spark, pages, tmp_path):
         list(warc.frames(b"\0" * 20))
 
 
+def test_warc_ids_of_text(spark):
+    rows = [("a>b\r\n%", "u", "same"), ("", "u", "same"), (None, "u", "same"), ("z é", "u", "other"), (None, None, None)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    back = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(archives, id_type="string").collect()]
+    assert sorted(back, key=repr) == sorted([("a>b\r\n%", "response", None), ("", "revisit", "a>b\r\n%"), (None, "revisit", "a>b\r\n%"), ("z é", "response", None), (None, "response", None)], key=repr)
+
+
+def iso_file(version: int, wide: bool, keys: list[int] | None) -> bytes:
+    """An audio track, then a video track of three samples in two chunks, by the format's own definitions."""
+    import struct
+
+    box = lambda kind, *parts: struct.pack(">I4s", 8 + sum(map(len, parts)), kind) + b"".join(parts)
+    times = struct.pack(">QQIQHH", 1, 2, 600, 7 << 32 | 90, 0, 0) if version else struct.pack(">IIIIHH", 1, 2, 600, 90, 0, 0)
+    media = b"AAAAbbbbbbCC"
+    brand = box(b"ftyp", b"isom", bytes(4))
+
+    def moov(start: int) -> bytes:
+        places = [start, start + 10]
+        tables = [
+            box(b"stts", bytes(4), struct.pack(">IIIII", 2, 2, 40, 1, 10)),
+            box(b"stsc", bytes(4), struct.pack(">IIIIIII", 2, 1, 2, 1, 2, 1, 1)),
+            box(b"stsz", bytes(4), struct.pack(">IIIII", 0, 3, 4, 6, 2)),
+            box(b"co64", bytes(4), struct.pack(">IQQ", 2, *places)) if wide else box(b"stco", bytes(4), struct.pack(">III", 2, *places)),
+        ]
+        if keys is not None:
+            tables.append(box(b"stss", bytes(4), struct.pack(f">I{len(keys)}I", len(keys), *keys)))
+        sound = box(b"stsd", bytes(4), struct.pack(">I", 1), box(b"mp4a", bytes(28)))
+        picture = box(b"stsd", bytes(4), struct.pack(">I", 1), box(b"avc1", bytes(24), struct.pack(">HH", 640, 360), bytes(50)))
+        track = lambda kind, entry: box(b"trak", box(b"mdia", box(b"mdhd", bytes([version, 0, 0, 0]), times), box(b"hdlr", bytes(8), kind, bytes(13)), box(b"minf", box(b"stbl", entry, *tables))))
+        return box(b"moov", track(b"soun", sound), track(b"vide", picture))
+
+    return brand + moov(len(brand) + len(moov(0)) + 8) + box(b"mdat", media)
+
+
+@pytest.mark.parametrize("version", [0, 1])
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("keys", [None, [1, 3], []])
+def test_foreign_media(spark, version, wide, keys):
+    data = iso_file(version, wide, keys)
+    info = media.parse_file(data)
+    assert (info["codec"], info["width"], info["height"], info["timescale"], info["duration"]) == ("avc1", 640, 360, 600, 90)
+    assert [data[a : a + n] for a, n in info["samples"]] == [b"AAAA", b"bbbbbb", b"CC"]
+    assert [info["samples"].index(x) + 1 for x in info["keys"]] == (keys if keys is not None else [1, 2, 3])
+
+
 def test_page_text(spark, pages):
     folder, rows = pages
     got = {r["page_id"]: r["text"] for r in QUERIES["op10_html_text"](spark, folder).collect()}
@@ -73,6 +121,11 @@ def test_page_text(spark, pages):
         ("<article>un<p>closed", ["un", "closed"]),
         ('<article title="a>b">t</article>', ["t"]),
         ("<article>x&nbsp; \n y<br>z</article>", ["x y z"]),
+        ('<article><p title="a hidden gem">a</p><p data-id="search">b</p><p data-hidden="false">c</p><p id="share">d</p><h2 id="notice" class="header">e</h2></article>', list("abcde")),
+        ('<article><section class="related-work">a</section><section class="related-posts">b</section><div class="article-comments">c</div><div class="leaderboard ads">d</div></article>', ["a"]),
+        ("<article>press <button>go</button> and <math><mi>x</mi></math>.<p aria-hidden=true>n</p><p style='Display : none'>n</p><p hidden>n</p></article>", ["press go and x."]),
+        ("<div role='MAIN'><p class=\"note shareable\">a</p></div><p>b", ["a"]),
+        ('<article><p class="cookie&#45;notice">n</p><p class=adminNote>a</p><p class="navMenu">n</p></article>', ["a"]),
     ],
 )
 def test_blocks(page, want):
@@ -174,3 +227,40 @@ def test_pipeline_stages(spark, folder, texts):
     out = corpus_pipeline.run(spark, folder)
     assert 0 < out.count() <= found and out.where("not round_trip").count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontaminate", "secrets", "sentencepiece"]
+
+
+def test_pipeline_against_brute_force(spark, folder, texts, tmp_path):
+    """All five stages by plain loops, over rows whose ids repeat or are null as well; only the fitted toxicity model is the
+    operator's, scored here text by text."""
+    from conftest import redacted
+    from test_text_operators import brute_components
+
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    extra = [(7, texts[60][1]), (7, "not like the other seven " * 3), (None, texts[3][1] + " end"), (None, None), (200, f"{texts[1][1]} {' '.join(texts[40][1].split()[32:52])}"), (201, texts[100][1])]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts + extra]
+    out = tmp_path / "sf"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{out}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{out}/{name}.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{out}/documents.parquet"), spark.read.parquet(f"{out}/labels.parquet"))
+
+    def toxic(text):
+        length, found = toxicity.passages((text or "").encode(), model)
+        return (toxicity.probability(model.weights, toxicity.features(length, found)) if model.weights else model.share) >= 0.5
+
+    kept = [(i, t) for i, t, *_ in rows if not toxic(t)]
+    groups = {}
+    for k, ((i, t), (_, _, component)) in enumerate(zip(kept, brute_components([(k, t) for k, (_, t) in enumerate(kept)], 5, 80), strict=True)):
+        groups.setdefault(component, []).append((i is None, i, t or "", k))
+    kept = [kept[min(g)[3]] for g in groups.values()]
+    items = [r["text"] for r in spark.read.parquet(f"{out}/benchmark.parquet").collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + 10]) for w in map(words, items) for i in range(max(1, len(w) - 9) if w else 0)}
+    sizes = {len(w) for w in windows}
+    has = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    kept = [(i, None if t is None else redacted(t)) for i, t in kept if not has(words(t))]
+    want = sorted(((i, t, library.encode(t or "")) for i, t in kept), key=repr)
+    got = corpus_pipeline.run(spark, str(out)).collect()
+    assert sorted(((r["doc_id"], r["text"], list(r["ids"])) for r in got), key=repr) == want
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in got) and len(want) < len(rows)
