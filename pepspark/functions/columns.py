@@ -14,6 +14,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` uses it inside a function of array elements."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 # --- strings
 
 
@@ -67,16 +72,26 @@ def modified_sequence(peptide: Column | str, mod_ids: Column | str, sites: Colum
     """``(UniMod:n)`` after the character at each site; site -1 is the last character."""
     p, ids, at = col(peptide), col(mod_ids), col(sites)
     pairs = F.zip_with(ids, at, lambda i, s: F.struct(F.when(s < 0, F.length(p) + s).otherwise(s).alias("site"), i.alias("id")))
-    chars = F.transform(F.sequence(F.lit(0), F.length(p) - 1), lambda k: F.concat(F.substr(p, k + 1, F.lit(1)), F.array_join(F.transform(F.filter(pairs, lambda x: x["site"] == k), lambda x: F.concat(F.lit("(UniMod:"), unimod_id(x["id"]).cast("string"), F.lit(")"))), "")))
-    return F.array_join(chars, "")
+    marks = F.transform(F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["site"].alias("site"), i.alias("i"), x["id"].alias("id")))), lambda x: F.struct(x["site"].alias("site"), F.concat(F.lit("(UniMod:"), unimod_id(x["id"]).cast("string"), F.lit(")")).alias("mark")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def insert(state, m):
+        upto = F.least(m["site"] + 1, F.length(p))
+        return F.struct(F.greatest(state["at"], upto).alias("at"), F.concat(state["out"], F.substr(p, state["at"] + 1, upto - state["at"]), F.when(m["site"].between(0, F.length(p) - 1), m["mark"]).otherwise("")).alias("out"))
+
+    return F.aggregate(marks, zero, insert, lambda s: F.concat(s["out"], F.substr(p, s["at"] + 1, F.length(p))))
 
 
 def parsed_sequence(text: Column | str) -> Column:
     """struct(plain, sites array, unimod array) of a modified sequence."""
     t = col(text)
-    parts = F.regexp_extract_all(t, F.lit(r"([A-Z<_.>])((?:\(UniMod:\d+\))*)"), F.lit(0))
-    bare = F.array_join(F.transform(parts, lambda x: F.substring(x, 1, 1)), "")
-    mods = F.flatten(F.transform(parts, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(r"UniMod:(\d+)"), F.lit(1)), lambda u: F.struct(i.alias("site"), u.cast("bigint").alias("unimod")))))
+    marks = r"(?:\(UniMod:\d+\))+"
+    runs = F.split(t, marks, -1)  # plain text before each group of marks
+    groups = F.regexp_extract_all(t, F.lit(f"({marks})"), F.lit(1))
+    bare = F.array_join(runs, "")
+    ends = F.aggregate(F.slice(runs, F.lit(1), F.size(groups)), F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + F.length(r))))
+    each = F.zip_with(groups, F.slice(ends, F.lit(2), F.size(groups)), lambda g, e: F.transform(F.regexp_extract_all(g, F.lit(r"UniMod:(\d+)"), F.lit(1)), lambda u: F.struct((e - 1).alias("site"), u.cast("bigint").alias("unimod"))))
+    mods = F.flatten(each)
     return F.struct(bare.alias("plain"), F.transform(mods, lambda m: m["site"]).alias("sites"), F.transform(mods, lambda m: m["unimod"]).alias("unimod"))
 
 
@@ -111,15 +126,17 @@ def parsed_dialect(text: Column | str) -> Column:
     """struct(plain, sites array, unimod array) of a modified sequence of any dialect: ``(UniMod:n)``, ``(Name)``, ``[+mass]``,
     ``[Name (X)]``; a modification that isn't known has a null accession."""
     t = native_terminals(text)
-    part = r"([A-Z<_.>])((?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])*)"
-    parts = F.regexp_extract_all(t, F.lit(part), F.lit(0))
-    bare = F.array_join(F.transform(parts, lambda x: F.substring(x, 1, 1)), "")
+    one = r"(?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])"
+    runs = F.split(t, f"{one}+", -1)
+    groups = F.regexp_extract_all(t, F.lit(f"({one}+)"), F.lit(1))
+    bare = F.array_join(runs, "")
+    ends = F.aggregate(F.slice(runs, F.lit(1), F.size(groups)), F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + F.length(r))))
 
-    def marks(x, i):
-        found = F.regexp_extract_all(x, F.lit(r"\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]"), F.lit(0))
-        return F.transform(found, lambda m: F.struct(i.alias("site"), modification_number(F.substr(m, F.lit(2), F.length(m) - 2)).alias("unimod")))
+    def marks(group, end):
+        found = F.regexp_extract_all(group, F.lit(f"({one})"), F.lit(1))
+        return F.transform(found, lambda m: F.struct((end - 1).alias("site"), modification_number(F.substr(m, F.lit(2), F.length(m) - 2)).alias("unimod")))
 
-    mods = F.flatten(F.transform(parts, marks))
+    mods = F.flatten(F.zip_with(groups, F.slice(ends, F.lit(2), F.size(groups)), marks))
     return F.struct(bare.alias("plain"), F.transform(mods, lambda m: m["site"]).alias("sites"), F.transform(mods, lambda m: m["unimod"]).alias("unimod"))
 
 
@@ -173,22 +190,26 @@ def nominal_mass_sum(sequence: Column | str) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-RUNNING_BLOCK = 256
+RUNNING_BLOCK = 32
 
 
 def running_sums(values: Column | str) -> Column:
     """Running sums of an array.  Sums run over some elements at a time and then over these blocks, so that long arrays
     don't cost the square of their length."""
-    v = col(values)
     zero = F.array().cast("array<double>")
 
     def sums(a):
         return F.aggregate(a, zero, lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x)))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / RUNNING_BLOCK).cast("int") - 1), lambda b: sums(F.slice(v, b * RUNNING_BLOCK + 1, F.lit(RUNNING_BLOCK))))
-    begins = F.concat(F.array(F.lit(0.0)), sums(F.transform(blocks, lambda b: F.element_at(b, -1))))
-    long = F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, by: F.transform(b, lambda x: x + by)))
-    return F.when(F.size(v) <= RUNNING_BLOCK, sums(v)).otherwise(long)
+    def joined(blocks):
+        begins = F.concat(F.array(F.lit(0.0)), sums(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, by: F.transform(b, lambda x: x + by)))
+
+    def cut(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / RUNNING_BLOCK).cast("int") - 1), lambda b: sums(F.slice(v, b * RUNNING_BLOCK + 1, F.lit(RUNNING_BLOCK))))
+        return F.when(F.size(v) <= RUNNING_BLOCK, sums(v)).otherwise(bound(blocks, joined))
+
+    return bound(col(values), cut)
 
 
 def prefix_masses(sequence: Column | str, mod_sites: Column | str | None = None, mod_masses: Column | str | None = None) -> Column:
@@ -201,7 +222,8 @@ def prefix_masses(sequence: Column | str, mod_sites: Column | str | None = None,
     if mod_sites is not None:
         n = F.length(s)
         mods = F.zip_with(col(mod_sites), col(mod_masses), lambda a, m: F.struct(F.least(F.greatest(F.when(a < 0, n).otherwise(a), F.lit(1)), n).alias("at"), m.alias("mass")))
-        masses = F.transform(masses, lambda m, i: m + F.aggregate(F.filter(mods, lambda x: x["at"] == i + 1), F.lit(0.0), lambda t, x: t + x["mass"]))
+        plain_masses = masses
+        masses = bound(mods, lambda ms: F.transform(plain_masses, lambda m, i: m + F.aggregate(F.filter(ms, lambda x: x["at"] == i + 1), F.lit(0.0), lambda t, x: t + x["mass"])))
     return running_sums(masses)
 
 

@@ -63,6 +63,21 @@ def composition_mass(composition: dict[str, int]) -> float:
     return sum(ATOM_MASSES[a] * n for a, n in composition.items())
 
 
+def modification(name: str) -> tuple[int, dict[str, int]]:
+    """Accession and composition of a known modification."""
+    if name not in MODIFICATIONS:
+        raise ValueError(f"modification {name} is not known: read it from a table and register it")
+    return MODIFICATIONS[name]
+
+
+def register_modification(name: str, accession: int, composition: dict[str, int]) -> None:
+    """Makes a modification known by its name; its atoms must be known."""
+    unknown = sorted(set(composition) - set(ATOM_MASSES))
+    if unknown:
+        raise ValueError(f"modification {name}: no mass for {', '.join(unknown)}")
+    MODIFICATIONS[name] = (accession, dict(composition))
+
+
 RESIDUE_MASSES = {r: composition_mass(c) for r, c in RESIDUE_COMPOSITIONS.items()}
 #: Nominal masses: the numbers of nucleons of the commonest isotopes.
 NOMINAL_RESIDUE_MASSES = {r: sum(round(ATOM_MASSES[a]) * n for a, n in c.items()) for r, c in RESIDUE_COMPOSITIONS.items()}

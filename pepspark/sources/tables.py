@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pepspark.functions import columns as K
 from pepspark.functions import constants as C
 
 #: Shares of the isotopes of each element by added neutrons, and the average residue (Senko 1995) of 111.1254 Da.
@@ -29,6 +31,23 @@ def modifications(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, name, C.composition_mass(parts)) for name, (n, parts) in C.MODIFICATIONS.items()], "unimod_id int, name string, mass double")
 
 
+def read_modifications(spark: SparkSession, path: str) -> DataFrame:
+    """``unimod_id, name, mass, composition map<string,int>`` of a UniMod XML file, one row for each of its modifications."""
+    schema = "_record_id int, _title string, `umod:delta` struct<_mono_mass:double,_composition:string>"
+    rows = spark.read.format("xml").option("rowTag", "umod:mod").schema(schema).load(path)
+    delta = F.col("`umod:delta`")
+    return rows.select(F.col("_record_id").alias("unimod_id"), F.col("_title").alias("name"), delta["_mono_mass"].alias("mass"), K.composition(delta["_composition"]).alias("composition"))
+
+
+def register_modifications(table: DataFrame, names: list[str]) -> None:
+    """Makes the named modifications of such a table known to the library builder."""
+    found = {r["name"]: r for r in table.where(F.col("name").isin(names)).collect()}  # the configuration's names
+    for name in names:
+        if name not in found:
+            raise ValueError(f"modification {name} is not in the table")
+        C.register_modification(name, found[name]["unimod_id"], found[name]["composition"])
+
+
 def atoms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(C.ATOM_MASSES.items()), "code string, mono_mass double")
 

@@ -1,6 +1,7 @@
 """Hand-computed cases of the analytics operators."""
 
 import base64
+import gzip
 import math
 import zlib
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pepspark import config
 from pepspark.functions import columns as K
+from pepspark.functions import constants as C
 from pepspark.operators import digest as D
 from pepspark.operators import inference as I
 from pepspark.operators import quantify as Q
@@ -104,8 +106,8 @@ def test_modification_numbers(spark):
     assert one(spark, K.mod_id(F.lit(4), F.lit(0), F.lit("C"), F.lit(True))) == 266433
     assert one(spark, K.mod_id(F.lit(35), F.lit(0), F.lit("M"), F.lit(False))) == 2298688
     assert one(spark, K.mod_id(F.lit(1), F.lit(3), F.lit("*"), F.lit(False))) == 92800
-    text = K.modified_sequence(F.lit("_AEDQTESSCESHR."), F.array(F.lit(266433)), F.array(F.lit(9)))
-    assert one(spark, text) == "_AEDQTESSC(UniMod:4)ESHR."
+    text = K.modified_sequence(F.lit("_AGDQTLSSCVSHK."), F.array(F.lit(266433)), F.array(F.lit(9)))
+    assert one(spark, text) == "_AGDQTLSSC(UniMod:4)VSHK."
     assert one(spark, K.parsed_sequence(text)["sites"]) == [9]
 
 
@@ -185,6 +187,42 @@ def test_mzml(spark, tmp_path):
     assert [(r["mz"], r["ab"]) for r in readers.peaks_of(readers.read_run(spark, str(tmp_path / "run1.mzML"))).orderBy("mz").collect()] == [(100.0, 1.0), (150.5, 7.0)]
 
 
+def test_gzip_mzml(spark, tmp_path):
+    body = "".join(f'<spectrum index="{i}" id="s{i}"><cvParam accession="MS:1000511" value="1"/><scanList><scan><cvParam accession="MS:1000016" value="{i}" unitName="second"/></scan></scanList></spectrum>' for i in range(5))
+    with gzip.open(tmp_path / "run2.mzML.gz", "wt") as f:
+        f.write(f'<?xml version="1.0"?><mzML><run><spectrumList>{body}</spectrumList></run></mzML>')
+    rows = readers.read_run(spark, str(tmp_path / "run2.mzML.gz")).orderBy("frame_num").collect()
+    assert [(r["run_name"], r["frame_num"], r["time_in_seconds"], r["mz"]) for r in rows] == [("run2", i + 1, float(i), []) for i in range(5)]
+
+
+def test_modification_tables(spark, tmp_path):
+    (tmp_path / "u.xml").write_text('<umod:unimod xmlns:umod="u"><umod:modifications><umod:mod title="Methyl" record_id="34"><umod:delta mono_mass="14.01565" composition="H(2) C"/></umod:mod></umod:modifications></umod:unimod>')
+    table = tables.read_modifications(spark, str(tmp_path / "u.xml"))
+    assert [(r["unimod_id"], r["name"], r["composition"]) for r in table.collect()] == [(34, "Methyl", {"H": 2, "C": 1})]
+    peptides = spark.createDataFrame([("_AK.",)], "peptide string")
+    with pytest.raises(ValueError, match="Methyl"):
+        D.modify(peptides, [("Methyl", "K", "anywhere", True)], 1)
+    tables.register_modifications(table, ["Methyl"])
+    try:
+        mass = D.modify(peptides, [("Methyl", "K", "anywhere", True)], 1).select(D.modification_mass("mod_ids").alias("m")).first()["m"]
+        assert mass == pytest.approx(14.01565, abs=1e-5)
+    finally:
+        del C.MODIFICATIONS["Methyl"]
+
+
+def test_appended_results(spark, tmp_path):
+    for run in (0, 1, 1):
+        sinks.append_results(spark.range(2).withColumn("run_index", F.lit(run)), str(tmp_path / "r"))
+    assert {r["run_index"]: r["n"] for r in spark.read.parquet(str(tmp_path / "r")).groupBy("run_index").agg(F.count("*").alias("n")).collect()} == {0: 2, 1: 4}
+
+
+def test_input_folder(spark, tmp_path):
+    for name in ("b.mzML", "a.mzML.gz", "x.txt"):
+        (tmp_path / name).write_text("")
+    names = lambda found: [p.rpartition("/")[2] for p in found]
+    assert names(config.input_files({"input_dir": str(tmp_path)})) == names(config.input_files({"input_dir": str(tmp_path)}, spark)) == ["a.mzML.gz", "b.mzML"]
+
+
 def test_isotopes_and_sinks(spark, tmp_path):
     rows = tables.isotope_patterns(spark).where("mass = 1000").orderBy("isotope_index").collect()
     assert rows[0]["predicted_intensity"] == 1.0 and rows[1]["predicted_intensity"] == pytest.approx(0.57, abs=0.05)
