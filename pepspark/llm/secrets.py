@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pepspark.functions.columns import bound
 from pepspark.llm.common import staged, table
 
 #: The patterns of the strong parts and of the weak ones, in the order in which kinds are listed.
@@ -58,10 +59,10 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     def whole(rows):
         count = F.ceil(F.size(rows) / BLOCK).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
-        return _placed(blocks)
+        return bound(blocks, _placed)
 
     few = F.aggregate(rows, zero, add, lambda s: s["out"])
-    found = F.when(F.size(hits) <= BLOCK, few).otherwise(whole(rows))
+    found = F.when(F.size(hits) <= BLOCK, few).otherwise(bound(rows, whole))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
