@@ -21,8 +21,6 @@ columns but the id and the text are read.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

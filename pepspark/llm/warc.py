@@ -25,7 +25,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pepspark.llm.common import map_arrow, map_batches, staged, table, text_bytes
 
