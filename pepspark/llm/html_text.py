@@ -34,7 +34,10 @@ TASK_PAGES = 256
 RAW = "script style noscript template textarea title svg iframe object select option canvas audio video".split()
 APART = {"nav", "aside", "form", "footer", "dialog", "menu", "head", "header"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-INLINE = set("a abbr acronym b bdi bdo big button cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are text: where their ids point to is no part apart from the article.
 TEXT = HEADINGS | {"p", "li", "blockquote", "pre", "figure", "figcaption", "td", "th", "dd", "dt"}
