@@ -232,11 +232,11 @@ def test_pipeline_stages(spark, folder, texts):
 def test_pipeline_against_brute_force(spark, folder, texts, tmp_path):
     """All five stages by plain loops, over rows whose ids repeat or are null as well; only the fitted toxicity model is the
     operator's, scored here text by text."""
-    from conftest import redacted
+    from brute import redacted
     from test_text_operators import brute_components
 
     library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
-    extra = [(7, texts[60][1]), (7, "not like the other seven " * 3), (None, texts[3][1] + " end"), (None, None), (200, f"{texts[1][1]} {' '.join(texts[40][1].split()[32:52])}"), (201, texts[100][1])]
+    extra = [(7, texts[60][1]), (7, "not like the other seven " * 3), (None, texts[3][1] + " end"), (None, None), (200, f"{texts[1][1]} {' '.join(texts[40][1].split()[32:52])}"), (201, dict(texts)[100])]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts + extra]
     out = tmp_path / "sf"
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -158,7 +158,7 @@ def test_secrets(spark, folder, texts):
 
 def test_linked_spans(spark, monkeypatch):
     """All spans against plain loops, also of texts with more matches than are summed at once."""
-    from conftest import redacted, secret_spans
+    from brute import redacted, secret_spans
 
     rng = random.Random(21)
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
