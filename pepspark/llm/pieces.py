@@ -38,11 +38,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FREQUENT = 65_536
 LEAST_FREQUENT = 8
-KNOWN_UNITS = 100_000
+KNOWN_UNITS = 80_000
 LONG_UNIT = 48
 RELATIONAL_LENGTH = 24
 LATTICE_TASKS = 48
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 SIDE_BY_SIDE = 4_096
 GONE = -(1 << 40)
 DECODED_PIECES = 300_000
@@ -371,20 +371,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with ``decoded string``: the text of the pieces, without the white space that encoding puts first."""
     df = df.drop("decoded")
-    shared = df.sparkSession.sparkContext.broadcast(Pieces(model))
+    pieces = Pieces(model)
+    shared = df.sparkSession.sparkContext.broadcast((pieces.lengths, pieces.starts, pieces.blob))  # the model's fixed size
     place = df.columns.index(ids_col)
 
     def rows(batch):
-        pieces = shared.value
+        lengths, starts, blob = shared.value
         lists = batch.column(place)
         ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         first = 0
         while first < batch.num_rows:  # some rows at a time, by their pieces
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODED_PIECES, "right")) - 1)
             part = ids[ends[first] : ends[last]]
-            sizes = pieces.lengths[part]
+            sizes = lengths[part]
             before = np.cumsum(sizes) - sizes
-            data = pieces.blob[np.repeat(pieces.starts[part] - before, sizes) + np.arange(sizes.sum())].tobytes()
+            data = blob[np.repeat(starts[part] - before, sizes) + np.arange(sizes.sum())].tobytes()
             cuts = np.r_[before, len(data)][ends[first : last + 1] - ends[first]].tolist()
             texts = [data[a:z][1:] if data[a:z][:1] == b" " else data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
             rows_of = batch.slice(first, last - first)
