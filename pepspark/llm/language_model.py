@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pepspark.llm.common import by_row, free_shuffles, map_arrow, map_batches, mix, staged, table, text_bytes, word_chunks
+from pepspark.llm.common import by_row, drop_staged, free_shuffles, map_arrow, map_batches, mix, staged, table, text_bytes, word_chunks
 
 CACHED = 131_072
 BITS = 20  # of a short number in a pair
@@ -229,7 +229,9 @@ def word_scores(source: DataFrame, counts: DataFrame, lexicon) -> DataFrame:
     rare = rare.select("doc", "known", F.col("rare").alias("base"), "rare")
     plain = both.where("word is null").select("doc", F.col("tokens").alias("n_tokens"), "known", F.col("other").alias("n_other"), "base", "log_h")
     sums = plain.unionByName(rare, allowMissingColumns=True).groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "known", "n_other", "base", "rare", "log_h")))
-    return sums.withColumn("rare", F.coalesce("rare", F.lit(0.0))).withColumnRenamed("known", "n_known")
+    done = staged(sums.withColumn("rare", F.coalesce("rare", F.lit(0.0))).withColumnRenamed("known", "n_known"), "by_document")
+    drop_staged(both)  # a row for each document and rare word: gone before pairs need the disk
+    return done
 
 
 def _column(values, kind: str) -> pa.Array:
@@ -498,8 +500,6 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lex = Lexicon(counts, bound, cached)
     shared = spark.sparkContext.broadcast(lex)
     words = word_scores(source, counts, shared)
-    words = staged(words, "by_document")
-    free_shuffles(spark)
     parts = pair_parts(pair_blocks(source, shared), shared, lex.buckets)
     free_shuffles(spark)
     rare = counts.where("word is not null").where(F.col("c") < lex.least).select("word", "c")
