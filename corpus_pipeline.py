@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pepspark.llm.common import shared_dir, staged, table
 from pepspark.llm.decontaminate import decontaminate
 from pepspark.llm.jaccard_join import near_components
-from pepspark.llm.pieces import decode, encode
+from pepspark.llm.pieces import encode
 from pepspark.llm.secrets import redact_secrets
 from pepspark.llm.toxicity import fit, score
 
@@ -62,7 +62,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = decode(encode(docs).select("doc_id", "text", "ids"))
+    done = encode(docs, decoded=True)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return done.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 

@@ -26,6 +26,7 @@ from collections import Counter
 from functools import cached_property
 from itertools import chain
 from operator import add
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -343,8 +344,12 @@ def frequent_units(docs: DataFrame, text_col: str, bound: int = MAX_FREQUENT) ->
     return staged(counts.orderBy(F.desc("n"), "unit").limit(bound).select("unit"), "units")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, kind: str = "bpe", bound: int = MAX_FREQUENT) -> DataFrame:
-    """``id_col, text, ids array<int>``: the piece ids of every whole text."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, kind: str = "bpe", bound: int = MAX_FREQUENT, decoded: bool = False) -> DataFrame:
+    """``id_col, text, ids array<int>``: the piece ids of every whole text.
+
+    With ``decoded``, also what ``decode`` makes of the ids, in the same worker: two workers a core, one for each, and the
+    ids sent to the second one would take more memory.
+    """
     pieces = Pieces(model, kind)
     lattice = encode_units(frequent_units(docs, text_col, bound), pieces)
     frequent = {r["unit"].replace(MARK, " "): tuple(pieces.ids(r["parts"])) for r in lattice.collect()}
@@ -362,35 +367,44 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 if size >= CHUNK_CHARS or row + 1 == batch.num_rows:
                     ids, ends = known.encode(texts)
                     part = batch.slice(first, row + 1 - first)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[id_col, "text", "ids"])
+                    columns = [part.column(0), part.column(1).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                    if decoded:
+                        columns.append(pa.array([x for _, _, some in _decoded(ids, ends, known.pieces) for x in some], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
                     texts, first, size = [], row + 1, 0
 
-    return map_batches(source, run, f"{id_col} {kind_of}, text string, ids array<int>")
+    names = [id_col, "text", "ids", *(["decoded"] if decoded else [])]
+    return map_batches(source, run, f"{id_col} {kind_of}, text string, ids array<int>" + (", decoded string" if decoded else ""))
+
+
+def _decoded(ids: np.ndarray, ends: np.ndarray, pieces):
+    """(first, last, texts) of some rows at a time, by their pieces; ``pieces`` has lengths, starts and blob."""
+    first, rows = 0, len(ends) - 1
+    while first < rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODED_PIECES, "right")) - 1)
+        part = ids[ends[first] : ends[last]]
+        sizes = pieces.lengths[part]
+        before = np.cumsum(sizes) - sizes
+        data = pieces.blob[np.repeat(pieces.starts[part] - before, sizes) + np.arange(sizes.sum())].tobytes()
+        cuts = np.r_[before, len(data)][ends[first : last + 1] - ends[first]].tolist()
+        texts = [data[a:z][1:] if data[a:z][:1] == b" " else data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        yield first, last, [t.decode("utf-8", "replace") for t in texts]
+        first = last
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with ``decoded string``: the text of the pieces, without the white space that encoding puts first."""
     df = df.drop("decoded")
     pieces = Pieces(model)
-    shared = df.sparkSession.sparkContext.broadcast((pieces.lengths, pieces.starts, pieces.blob))  # the model's fixed size
+    tables = SimpleNamespace(lengths=pieces.lengths, starts=pieces.starts, blob=pieces.blob)
+    shared = df.sparkSession.sparkContext.broadcast(tables)  # the model's fixed size
     place = df.columns.index(ids_col)
 
     def rows(batch):
-        lengths, starts, blob = shared.value
         lists = batch.column(place)
         ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        first = 0
-        while first < batch.num_rows:  # some rows at a time, by their pieces
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODED_PIECES, "right")) - 1)
-            part = ids[ends[first] : ends[last]]
-            sizes = lengths[part]
-            before = np.cumsum(sizes) - sizes
-            data = blob[np.repeat(starts[part] - before, sizes) + np.arange(sizes.sum())].tobytes()
-            cuts = np.r_[before, len(data)][ends[first : last + 1] - ends[first]].tolist()
-            texts = [data[a:z][1:] if data[a:z][:1] == b" " else data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
-            rows_of = batch.slice(first, last - first)
-            yield pa.RecordBatch.from_arrays([*rows_of.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*batch.schema.names, "decoded"])
-            first = last
+        for first, last, texts in _decoded(ids, ends, shared.value):
+            yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -399,7 +413,7 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again: pieces, digests of both, and whether the text came back."""
-    done = decode(encode(table(spark, sf_dir, "documents")).select("doc_id", "text", "ids"))
+    done = encode(table(spark, sf_dir, "documents"), decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),

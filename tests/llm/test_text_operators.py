@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -262,6 +263,24 @@ def test_language_model_keeps_every_word(spark, texts, case):
         assert got[d] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["start", *w], [*w, None], strict=True)), rel=1e-9)
 
 
+def test_language_model_drops_word_scores(spark):
+    """Rows by document and word are gone before pairs are sent."""
+    from pepspark.storage import shared_dir
+
+    language_model.score_corpus(spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string"), cached=1).collect()
+    assert not list(Path(shared_dir(spark).removeprefix("file:")).glob("pepspark-*/word_scores/*"))
+
+
+def test_decoded_in_the_same_worker(spark):
+    rows = [(1, "Two words, ünd  mehr "), (1, None), (None, ""), (2, " x" * 700_000), (3, "emoji \U0001f9ea▁")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = pieces.encode(docs, decoded=True)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = sorted(map(tuple, pieces.decode(pieces.encode(docs)).collect()), key=key)
+    assert both.columns == ["doc_id", "text", "ids", "decoded"] and sorted(map(tuple, both.collect()), key=key) == want
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_sentencepiece(spark, folder, texts):
     library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     got = rows_of(spark, folder, "op2_sentencepiece")
